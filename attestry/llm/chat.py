@@ -92,3 +92,19 @@ def read_chats(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
         "formatted_chars",
         "n_blocks",
     )
+
+
+def oracle(extra: str = "\\### Assistant: </turn> ok") -> str:
+    """The digests straight from the turns, in DuckDB."""
+    esc = lambda c: f"replace(replace(replace({c}, '\\', '\\s'), '##', '\\h#'), '</turn>', '\\l/turn>')"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, r, '{extra}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+n AS (SELECT *, row_number() OVER o AS i, coalesce(lag(role) OVER o <> role, true) AS opens FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({esc("text")}) + 7 + CASE WHEN opens THEN length(replace({esc("role")}, ':', '\\c')) + 7 ELSE 0 END)::BIGINT AS formatted_chars,
+  count(*) FILTER (opens)::BIGINT AS n_blocks
+FROM n GROUP BY conv_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, packing, sketch, tokens
+from . import chat, langid, licenses, media, mixing, packing, sketch, tokens
 from .bpe import tokenizer_path
 from .common import table
 
@@ -18,6 +18,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_media(table(spark, sf_dir, "documents")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))), tokenizer_path("piece_bpe_32k.model"))
+    return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "fit")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.successor_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -26,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -37,12 +47,23 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(turns))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media": op1_media,
+    "op2_language_id": op2_language_id,
     "op3_fingerprints": op3_fingerprints,
     "op4_token_counts": op4_token_counts,
+    "op5_source_mixing": op5_source_mixing,
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_source_mixing": mixing.oracle(),
+    "op9_chat_format": chat.oracle(),
+    "op10_license_scan": licenses.oracle(),
+}
