@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, media, mixing, packing, sketch, tokens
+from . import chat, langid, licenses, media, mixing, packing, sitetree, sketch, tokens
 from .bpe import tokenizer_path
 from .common import table
 
@@ -36,6 +36,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op5_source_mixing": op5_source_mixing,
+    "op6_main_text": op6_main_text,
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
