@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, media, mixing, packing, sitetree, sketch, tokens
+from . import chat, jaccard, langid, licenses, media, mixing, packing, sitetree, sketch, tokens
 from .bpe import tokenizer_path
 from .common import table
 
@@ -40,6 +40,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op5_source_mixing": op5_source_mixing,
     "op6_main_text": op6_main_text,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.oracle(),
+    "op7_jaccard_join": jaccard.oracle(4, 85),
     "op9_chat_format": chat.oracle(),
     "op10_license_scan": licenses.oracle(),
 }
