@@ -7,6 +7,7 @@ import itertools
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .checksums import icao_check
 from .scalars import calendar_iso, let
@@ -91,7 +92,8 @@ def normalized(lines: Column, kind: str) -> Column:
         return F.concat(*parts)
 
     n = 3 if kind == "TD1" else 2
-    return F.array(*(let(F.rpad(F.get(lines, k), size, "<"), lambda x, k=k: fix(x, k)) for k in range(n)))
+    bind = lambda k: let(F.rpad(F.get(lines, k), size, "<"), lambda x: fix(x, k))
+    return F.array(*map(bind, range(n)))
 
 
 def piece(lines: Column, parts: list[tuple[int, int, int]]) -> Column:
@@ -141,9 +143,9 @@ def parse_mrz(raw: Column, now_year: int) -> Column:
     def by_format(lines: Column) -> Column:
         kind = detect_format(lines)
         out = None
+        read = lambda name: let(normalized(lines, name), lambda x: read_zone(x, name, now_year))
         for name in LENGTHS:
-            read = let(normalized(lines, name), lambda x, name=name: read_zone(x, name, now_year))
-            out = F.when(kind == name, read) if out is None else out.when(kind == name, read)
+            out = F.when(kind == name, read(name)) if out is None else out.when(kind == name, read(name))
         return out
 
     return let(lines, by_format)
@@ -205,7 +207,7 @@ def repair_zone(lines: list[str], kind: str) -> list[str] | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired_mrz(raw: pd.Series, kind: pd.Series) -> pd.Series:
     """Normalised lines (joined by newlines) after repair; null where the repair is not unique."""
 
