@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from attestry.functions import checksums as C
 from attestry.functions import fuzzy, geometry, mrz, payloads
 from attestry.functions import scalars as S
-from attestry.operators import classify, consensus, decode, gate, layout, learning, tables, workspace
+from attestry.operators import classify, consensus, decode, gate, layout, learning, tables, verify, workspace
 from attestry.sources import files, stores
 from attestry.streaming import routing, windows
 
@@ -599,3 +599,54 @@ SNIFFED = [(b"%PDF-1.7", "pdf"), (b"\x89PNG\r\n\x1a\n....", "image"), (b"\xd0\xc
 def q_sniff(spark, sf_dir):
     rows = spark.createDataFrame([(k, bytearray(b)) for k, (b, _) in enumerate(SNIFFED)], "k long, content binary")
     return rows.select("k", files.route("content").alias("route"))
+
+
+# --- verification -----------------------------------------------------------------------------------------
+
+
+def order_fields(spark, sf_dir) -> DataFrame:
+    """Orders as fields: a date that is ambiguous on some days, a price (unreadable on every fifth order), an empty required clerk."""
+    k = F.col("o_orderkey")
+    field = lambda name, kind, value, need: F.struct(F.lit(name).alias("label"), F.lit(kind).alias("value_type"), value.alias("value"), F.lit(need).alias("required"))
+    rows = table(spark, sf_dir, "orders").select(k.cast("string").alias("doc_id"), F.explode(F.array(field("date", "date", F.date_format("o_orderdate", "dd/MM/yyyy"), False), field("price", "amount", F.when(k % 5 == 0, "n/a").otherwise(F.format_number("o_totalprice", 2)), True), field("clerk", "text", F.when(k % 2 == 0, "c").otherwise(" "), True))).alias("f")).select("doc_id", "f.*")
+    return rows.withColumns({"id": F.concat_ws("/", "doc_id", "label"), "canonical_label": F.col("label"), "rejected": F.lit(False), "user_edited": (F.col("label") == "price") & (F.col("doc_id").cast("long") % 10 == 0), "confidence": F.lit(0.9), "review_cap": F.lit(None).cast("string")})
+
+
+@query("""
+SELECT o_orderkey || '/date' AS id, 'needs_review' AS status FROM orders UNION ALL
+SELECT o_orderkey || '/price', CASE WHEN o_orderkey % 10 = 0 THEN 'confirmed' WHEN o_orderkey % 5 = 0 THEN 'invalid' ELSE 'needs_review' END FROM orders UNION ALL
+SELECT o_orderkey || '/clerk', CASE WHEN o_orderkey % 2 = 0 THEN 'needs_review' ELSE 'missing' END FROM orders""")
+def q_verify(spark, sf_dir):
+    fields = order_fields(spark, sf_dir)
+    return verify.statuses(fields, verify.validate(fields)).select("id", "status")
+
+
+@query("""
+SELECT 'date_validity' AS validator, CASE WHEN day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) THEN 'warn' ELSE 'pass' END AS status, count(*)::BIGINT AS n FROM orders GROUP BY ALL UNION ALL
+SELECT 'amount_format', CASE WHEN o_orderkey % 5 = 0 THEN 'fail' ELSE 'pass' END, count(*)::BIGINT FROM orders GROUP BY ALL UNION ALL
+SELECT 'required_presence', s, sum(n)::BIGINT FROM (SELECT 'pass' AS s, count(*) AS n FROM orders UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'pass' ELSE 'fail' END, count(*) FROM orders GROUP BY 1) GROUP BY s""")
+def q_validators(spark, sf_dir):
+    return verify.validate(order_fields(spark, sf_dir)).groupBy("validator", "status").agg(F.count("*").alias("n"))
+
+
+@query(INVOICES + " SELECT o_orderkey::VARCHAR || '/' || l AS id FROM t, (VALUES ('subtotal'), ('tax'), ('total')) v(l) WHERE round(100 * subtotal)::BIGINT + round(100 * tax)::BIGINT <> round(100 * total)::BIGINT")
+def q_closure_caps(spark, sf_dir):
+    """Invoice amounts that do not close to the cent."""
+    rows = order_candidates(spark, sf_dir)
+    return verify.closure_caps(rows, rows.select("doc_id").distinct().withColumn("doc_type", F.lit("invoice"))).select("id")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'cannot_judge' WHEN 1 THEN 'conflict' ELSE 'agree' END AS judgment FROM orders")
+def q_second_reads(spark, sf_dir):
+    """Prices read twice: by the same channel, with a difference, and with other separators."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("amount").alias("value_type"), F.format_number(price, 2).alias("first"), F.lit("ocr").alias("first_channel"), F.when(k % 4 == 1, F.format_number(price + 1, 2)).otherwise(F.concat(F.lit("$ "), F.format_number(price, 2))).alias("second"), F.when(k % 4 == 0, "ocr").otherwise("lattice_decode").alias("second_channel"))
+    return verify.judge(rows).select("o_orderkey", "judgment")
+
+
+@query("""
+WITH f AS (SELECT l_orderkey::VARCHAR AS doc_id, l_returnflag AS s FROM lineitem)
+SELECT doc_id, CASE WHEN count(*) FILTER (s <> 'A') = 0 THEN 'all_proven' WHEN count(*) * 0 + count(*) FILTER (s <> 'A') * 100 > 300 THEN 'budget_exceeded' ELSE 'dispatch' END AS plan, count(*) FILTER (s <> 'A')::INT AS n FROM f GROUP BY doc_id""")
+def q_read_plan(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("string").alias("label"), F.when(F.col("l_returnflag") == "A", "confirmed").when(F.col("l_returnflag") == "R", "refused").otherwise("review").alias("status"), F.lit("amount").alias("value_type"), F.lit(True).alias("has_box"))
+    return verify.plan_reads(rows, 0, 300, 100).select("doc_id", "plan", F.size("targets").alias("n"))
