@@ -42,5 +42,5 @@ def test_learned_template(spark):
 def test_dhash(spark):
     falling = np.tile(np.arange(90, 0, -10), (16, 1))
     assert images.dhash(falling) == "f" * 16 and images.dhash(falling[:, ::-1]) == "0" * 16
-    df = spark.createDataFrame([(falling.ravel().tolist(), 9), ([1.0, 2.0, 3.0], 2), (None, 3)], "luma array<double>, w int")
+    df = spark.createDataFrame([(falling.ravel().astype(float).tolist(), 9), ([1.0, 2.0, 3.0], 2), (None, 3)], "luma array<double>, w int")
     assert [r[0] for r in df.select(images.dhash64("luma", "w")).collect()] == ["f" * 16, None, None]
