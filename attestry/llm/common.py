@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python call holds at once; Arrow batches are cut to this.
@@ -66,5 +66,32 @@ def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def prefix_column(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+#: Bits of the map that tells which keys may be in a set; a bitmap row holds MAP_ROW of them, 4 KB.
+MAP_BITS, MAP_ROW = 1 << 24, 1 << 15
+
+
+def flagged(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows with ``maybe``: false where the key is surely not in ids (one column, named key).
+
+    The ids go into a hash bitmap of MAP_BITS bits, whatever their number: at most 2 MB, which is broadcast. A fuller
+    map flags more rows than need be, never fewer."""
+    slot = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    maps = ids.select(slot.alias("s")).groupBy((F.col("s") / MAP_ROW).cast("int").alias("_row")).agg(F.bitmap_construct_agg((F.col("s") % MAP_ROW).cast("long")).alias("_map"))
+    at = (F.col("_slot") % MAP_ROW).cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.call_function("shiftright", byte, at % 8).bitwiseAND(1) == 1, F.lit(False))
+    met = rows.withColumn("_slot", slot).withColumn("_row", (F.col("_slot") / MAP_ROW).cast("int")).join(F.broadcast(maps), "_row", "left")
+    return met.withColumn("maybe", bit).drop("_row", "_slot", "_map")
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows whose key is in ids; rows that the bitmap rules out are not shuffled."""
+    some = flagged(rows, ids, key).filter("maybe").drop("maybe")
+    return some.join(ids.distinct(), key, "left_semi").select(*rows.columns)
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows whose key is not in ids (a null key is in none); rows that the bitmap rules out are not shuffled."""
+    seen = flagged(rows, ids, key)
+    sure, rest = seen.filter("not maybe"), seen.filter("maybe")
+    return sure.select(*rows.columns).unionByName(rest.join(ids.distinct(), key, "left_anti").select(*rows.columns))

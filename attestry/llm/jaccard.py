@@ -7,7 +7,7 @@ pivots alone would copy nearly everything everywhere. Regions are therefore form
 
 1. Cells. Shingles have one global order, frequent ones last. Two documents over the threshold share
    one of the first n - ceil(t n) + 1 shingles of each, so every such shingle is a cell, and a document is
-   copied to the cells of its prefix. Sizes, positions in the prefix and 64 counters per document (a
+   copied to the cells of its prefix. Sizes, positions in the prefix and 256 counters per document (a
    lower bound of the set difference, by the triangle inequality) thin out the pairs of small cells.
 2. Regions. A cell of more than SMALL documents (near copies share whole texts) is joined as a metric
    region: pivots are chosen far from each other, exact distances to them divide the members into
@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, sliced, texts
+from .common import arrow_map, durable, only, texts, without
 from .words import mix, words
 
 #: Members of a cell whose pairs are listed; rows of a region that one task joins.
 SMALL, REGION = 32, 4000
 #: Frequent shingles that are ordered last, at most; the count from which they are is doubled until they are so few.
 FREQUENT = 1 << 20
-COUNTERS = 64
+COUNTERS = 256
 PIVOTS = 6
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,23 +71,28 @@ def counters(kept: np.ndarray) -> bytes:
     return np.minimum(np.bincount((kept >> np.uint64(5)).astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS), 255).astype(np.uint8).tobytes()
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The low half of each hash: enough for an order, which only has to be the same for all."""
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def frequent_shingles(docs: DataFrame, n: int, t: int) -> np.ndarray:
-    """Sorted hashes that more than SMALL documents have among the lowest twice as many as their prefix holds."""
+    """Sorted short hashes that more than SMALL documents have among the lowest twice as many as their prefix holds."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets([x.encode() for x in batch.column("text").to_pylist()], n)
             low = [s[: 2 * prefix_size(len(s), t)] for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(low).view(np.int64))], ["h"])
+            return pa.RecordBatch.from_arrays([pa.array(short(np.concatenate(low)).view(np.int32))], ["h"])
 
         return step
 
-    counts = durable(arrow_map(docs.select("text"), make, "h long").groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > SMALL))
+    counts = durable(arrow_map(docs.select("text"), make, "h int").groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > SMALL))
     least = SMALL
     while counts.filter(F.col("c") > least).count() > FREQUENT:
         least *= 2
-    rows = counts.filter(F.col("c") > least).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(rows.view(np.uint64))
+    rows = counts.filter(F.col("c") > least).select("h").toPandas()["h"].to_numpy(np.int32)
+    return np.sort(rows.view(np.uint32))
 
 
 FEATURES = "doc_id long, n long, sign binary, prefix array<long>, counters binary"
@@ -102,7 +107,7 @@ def features(docs: DataFrame, n: int, t: int, frequent: np.ndarray) -> DataFrame
                 signs.append(np.array([mix(s).sum() if len(s) else 0, mix(s ^ MIX).sum() if len(s) else 0, len(s)], np.uint64).tobytes())
                 profiles.append(counters(s))
                 if len(frequent):
-                    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+                    late = frequent[np.minimum(np.searchsorted(frequent, short(s)), len(frequent) - 1)] == short(s)
                     s = np.concatenate([s[~late], s[late]])
                 prefixes.append(s[: prefix_size(len(s), t)].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
@@ -128,12 +133,10 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.n
         if last == 0 and held and held[-1][key][-1] == k[0]:
             held.append(now)
             continue
-        if last == 0 and held:
+        if last:
+            held.append({c: v[:last] for c, v in now.items()})
+        if held:
             yield joined(held)
-            held = [now]
-            continue
-        held.append({c: v[:last] for c, v in now.items()})
-        yield joined(held)
         held = [{c: v[last:] for c, v in now.items()}]
     if held:
         yield joined(held)
@@ -177,7 +180,7 @@ def cell_pairs(t: int) -> Callable:
 
 
 def near_counters(t: int) -> Callable:
-    """Pairs whose counters differ by no more than sets over the threshold can."""
+    """Pairs whose counters differ by no more than sets over the threshold can, with that difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +188,9 @@ def near_counters(t: int) -> Callable:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16) for c in ("ca", "cb"))
             n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            ok = np.abs(a - b).sum(1) <= n - 2 * -(-t * n // (100 + t))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+            off = np.abs(a - b).sum(1)
+            ok = off <= n - 2 * -(-t * n // (100 + t))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(ok)) for c in ("a", "b")), pa.array(off[ok].astype(np.int32))], ["a", "b", "off"])
 
     return run
 
@@ -356,16 +360,22 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     docs = texts(docs, id_col, text_col)
     frequent = frequent_shingles(docs, n, percent)
     rows = durable(features(docs, n, percent, frequent))
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "prefix", "counters"), "doc_id").alias("f"))
-    classes = durable(classes.select("sign", "rep", "f.*"))
-
-    cells = classes.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h")).repartition(parts, "h").sortWithinPartitions("h")
+    named = rows.filter("n > 0 and doc_id is not null").select("sign", "doc_id")
+    classes = durable(named.groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    # the firsts of all classes: what is no first, or is several rows of one doc_id, is looked up, the rest passes
+    others = durable(named.join(classes, "sign").filter("doc_id <> rep or copies > 1").select("doc_id").distinct())
+    plain = without(rows.filter("n > 0 and doc_id is not null"), others).select(F.col("doc_id").alias("rep"), "n", "prefix", "counters")
+    several = only(rows, others).join(classes.select("sign", F.col("rep").alias("doc_id")), ["sign", "doc_id"])
+    several = several.groupBy(F.col("doc_id").alias("rep"), "sign").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counters").alias("counters")).drop("sign")
+    firsts = durable(plain.unionByName(several))
+
+    cells = firsts.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h")).repartition(parts, "h").sortWithinPartitions("h")
     found = durable(cells.select("h", "rep", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")).mapInArrow(cell_pairs(percent), "a long, b long, h long").distinct())
-    profile = classes.select("rep", "n", "counters").groupBy("rep").agg(F.max("n").alias("n"), F.max("counters").alias("counters"))
+    profile = only(firsts.select("rep", "n", "counters"), found.select(F.explode(F.array("a", "b")).alias("rep")).filter("rep is not null"), "rep").dropDuplicates(["rep"])
     pairs = found.filter("b is not null").select("a", "b")
     for side in "ab":
         pairs = pairs.join(profile.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("counters").alias(f"c{side}")), side)
-    pairs = durable(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(near_counters(percent), "a long, b long"))
+    pairs = durable(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(near_counters(percent), "a long, b long, off int"))
 
     members = found.filter("b is null").select("h", F.col("a").alias("rep"))
     sizes = members.groupBy("h").agg(F.count("*").alias("m"))
@@ -376,16 +386,24 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     members = members.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda o: (o != F.col("own")) | (F.col("s") == 1)))).select(region.alias("region"), "rep")
     members = durable(members)
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("rep")).distinct()
-    firsts = rows.select("doc_id", "sign").join(classes.select("sign", F.col("rep").alias("doc_id")), ["sign", "doc_id"]).select("doc_id").distinct()
-    kept = durable(sets_of(docs.join(needed.join(firsts, "doc_id"), "doc_id"), n).dropDuplicates(["rep"]))
-    checked = pairs
-    for side in "ab":
-        checked = checked.join(kept.select(F.col("rep").alias(side), F.col("kept").alias(f"s{side}")), side)
-    links = checked.select("a", "b", "sa", "sb").mapInArrow(exact_pairs(percent), "a long, b long")
+    needed = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("rep")).distinct())
+    kept = durable(sets_of(only(docs, needed), n).dropDuplicates(["rep"]))
+
+    def verified(some: DataFrame) -> DataFrame:
+        for side in "ab":
+            some = some.join(kept.select(F.col("rep").alias(side), F.col("kept").alias(f"s{side}")), side)
+        return some.select("a", "b", "sa", "sb").mapInArrow(exact_pairs(percent), "a long, b long")
+
     regions = members.join(kept, "rep").select("region", "rep", "kept").repartition(parts, "region").sortWithinPartitions("region")
-    links = links.union(regions.mapInArrow(region_links(percent), "a long, b long"))
-    roots = components(links)
+    # each document's likeliest partner first; of the other pairs, those that are not connected by then
+    likely = durable(pairs.groupBy("b").agg(F.min_by("a", F.struct("off", "a")).alias("a")).select("a", "b"))
+    links = durable(verified(likely).union(regions.mapInArrow(region_links(percent), "a long, b long")))
+    rest = pairs.select("a", "b").join(likely, ["a", "b"], "left_anti")
+    near = components(links)
+    for side in "ab":
+        rest = rest.join(near.select(F.col("id").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    rest = rest.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    roots = components(links.union(verified(rest)))
 
     named = classes.select("sign", "rep").join(roots, classes["rep"] == roots["id"], "left").select("sign", F.coalesce("root", "rep").alias("component"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sign")).alias("sign")).join(named, "sign", "left")
@@ -394,9 +412,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
 
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents (all columns) whose doc_id is their component's smallest; repeated rows of it count once."""
-    joined_rows = durable(jaccard_join(docs, n, percent).select("doc_id", "component_id"))
-    keep = joined_rows.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = jaccard_join(docs, n, percent).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    found = durable(found)
+    drop, repeated = (found.filter(f).select("doc_id") for f in ("component_id <> doc_id", "component_id = doc_id and n > 1"))
+    once = without(docs, drop.union(repeated))
+    return once.unionByName(only(docs, repeated).dropDuplicates(["doc_id"]))
 
 
 def oracle(n: int = 4, percent: int = 85) -> str:
