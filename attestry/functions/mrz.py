@@ -218,3 +218,54 @@ def repaired_mrz(raw: pd.Series, kind: pd.Series) -> pd.Series:
         return "\n".join(lines) if lines else None
 
     return pd.Series([one(t, k) for t, k in zip(raw, kind)], dtype="object")
+
+
+# --- parts of a line ------------------------------------------------------------------------------
+
+# Fields of a passport's second line that have a check digit: from, to (its check follows), digits only, least length.
+WINDOWS = {"passport_number": (0, 9, False, 5), "date_of_birth": (13, 19, True, 0), "date_of_expiry": (21, 27, True, 0), "personal_number": (28, 42, False, 3)}
+
+
+def window_value(label: str, data: Column) -> Column:
+    """What a field's characters say, null where they cannot be its: dates by fixed century pivots, without a calendar."""
+    _, _, digits, least = WINDOWS[label]
+    if not digits:
+        plain = F.replace(data, F.lit("<"), F.lit(""))
+        return F.when(F.length(plain) >= least, plain)
+    y, m, d = (F.substring(data, at, 2).try_cast("int") for at in (1, 3, 5))
+    pivot = 50 if label == "date_of_birth" else 80
+    iso = F.concat(F.when(y >= pivot, "19").otherwise("20"), F.substring(data, 1, 2), F.lit("-"), F.substring(data, 3, 2), F.lit("-"), F.substring(data, 5, 2))
+    return F.when(data.rlike(r"^\d{6}$") & m.between(1, 12) & d.between(1, 31), iso)
+
+
+def partial_fields(fragment: Column, edge: str = "unknown") -> Column:
+    """array<struct<label, value>> that a part of a passport's second line proves.
+
+    The part is laid at every place it may have (at one, if it is known to be the line's 'left' or 'right' end that is cut off). A place is
+    possible if every whole field there passes its check digit; a value counts if all possible places that show its field agree."""
+    size = LENGTHS["TD3"]
+
+    def at(clean: Column, offset: Column) -> Column:
+        """Map of the fields at one place; null where the place is impossible."""
+        end = offset + F.length(clean)
+        reads = []
+        for label, (lo, hi, digits, _) in WINDOWS.items():
+            inside = (offset <= lo) & (end > hi)
+            data, check = F.substring(clean, lo + 1 - offset, F.lit(hi - lo)), F.substring(clean, hi + 1 - offset, F.lit(1))
+            value = F.when(check.rlike("^[0-9]$") & (icao_check(data).cast("string") == check) & (data.rlike("^[0-9<]*$") if digits else F.lit(True)), window_value(label, data))
+            reads.append(F.struct(F.lit(label).alias("label"), inside.alias("inside"), F.when(inside, value).alias("value")))
+        return let(F.array(*reads), lambda r: F.when(F.exists(r, lambda x: x["inside"]) & ~F.exists(r, lambda x: x["inside"] & x["value"].isNull()), F.filter(r, lambda x: x["inside"])))
+
+    def over(clean: Column) -> Column:
+        n = F.length(clean)
+        offsets = {"left": F.array(size - n), "right": F.array(F.lit(0))}.get(edge, F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))))
+        found = F.flatten(F.filter(F.transform(offsets, lambda o: at(clean, o)), lambda x: x.isNotNull()))
+
+        def settled(found: Column) -> Column:
+            values = lambda label: F.array_distinct(F.transform(F.filter(found, lambda x: x["label"] == label), lambda x: x["value"]))
+            all_fields = F.array(*(F.struct(F.lit(label).alias("label"), values(label).alias("v")) for label in WINDOWS))
+            return F.transform(F.filter(all_fields, lambda x: F.size(x["v"]) == 1), lambda x: F.struct(x["label"].alias("label"), F.get(x["v"], 0).alias("value")))
+
+        return F.when((n >= 8) & (n < size), let(found, settled)).otherwise(F.array().cast("array<struct<label:string,value:string>>"))
+
+    return let(F.regexp_replace(F.upper(fragment), "[^A-Z0-9<]", ""), over)

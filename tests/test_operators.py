@@ -245,3 +245,29 @@ def test_null_inputs_stay_null(spark):
     s = F.col("s")
     row = one.select(S.parse_date(s), S.parse_amount(s), S.closure_amount(s), S.slug(s), S.infer_value_type(s), S.plausible_iso_dates(s), C.luhn(s), C.iban(s), C.verhoeff(s)).first()
     assert all(x is None for x in row)
+
+
+ZONE = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"
+
+
+def test_zone_bears_witness(spark):
+    rows = [
+        ("d", "z", 1, "mrz", "mrz", ZONE, "ocr", ["mrz_text"]), ("d", "a", 2, "passport_number", "id_number", "l898902c3", "ocr", []), ("d", "b", 3, "surname", "name", "Eriksson", "ocr", []),
+        ("d", "c", 4, "date_of_birth", "date", "12/08/1974", "ocr", []), ("d", "e", 5, "date_of_expiry", "date", "16/04/2012", "ocr", []), ("d", "f", 6, "nationality", "country", "Utopia", "ocr", []), ("d", "g", 7, "full_name", "name", "Anna Maria Eriksson", "ocr", []),
+        ("x", "z", 1, "mrz", "mrz", ZONE.replace("L898902C36", "L898902C37"), "ocr", []), ("x", "a", 2, "surname", "name", "Other", "ocr", []),
+    ]
+    got = {(r.doc_id, r.candidate_id): r.verdict for r in consensus.attest_zones(candidates(spark, rows), "2026-01-01").collect()}
+    assert got == {("d", "z"): "proves", ("d", "a"): "proves", ("d", "b"): "supports", ("d", "c"): "proves", ("d", "e"): "contradicts", ("d", "g"): "supports", ("x", "z"): "contradicts"}
+
+
+def test_partial_zone(spark):
+    second = ZONE.split("\n")[1]
+    rows = spark.createDataFrame([(second[13:],), (second[:30],), ("short",), (None,)], "s string").select(mrz.partial_fields(F.col("s")).alias("f"), mrz.partial_fields(F.col("s"), "left").alias("l")).collect()
+    fields = lambda xs: {x.label: x.value for x in xs}
+    assert fields(rows[0].l) == {"date_of_birth": "1974-08-12", "date_of_expiry": "2012-04-15", "personal_number": "ZE184226B"}
+    assert fields(rows[1].f).get("passport_number") == "L898902C3" and fields(rows[2].f) == {}
+
+
+def test_text_layer(spark):
+    reads = spark.createDataFrame([("a", "total due", "Total Due"), ("a", "abc def", "zzz"), ("b", "x y z", "x y z"), ("b", "one", "one"), ("b", "two", "qqq")], "doc_id string, claimed string, seen string")
+    assert {r.doc_id: r.trusted for r in layout.text_layer_trust(reads).collect()} == {"a": False, "b": True}
