@@ -73,32 +73,37 @@ def detect_format(lines: Column) -> Column:
     )
 
 
-def normalized(lines: Column, kind: str) -> Column:
-    """Lines cut or filled to length, digits and letters put right where the format knows which stands."""
-    size = LENGTHS[kind]
+def by_kind(make) -> Column:
+    """A literal map from each format to what ``make`` gives for it."""
+    return F.create_map(*[x for kind in LENGTHS for x in (F.lit(kind), make(kind))])
+
 
-    def fix(line: Column, k: int) -> Column:
-        kinds = ["m"] * size
+def masks(kind: str) -> Column:
+    """For each line of a format a string of m (either), a (letter) and n (digit)."""
+    rows = []
+    for k in range(3 if kind == "TD1" else 2):
+        row = ["m"] * LENGTHS[kind]
         for table, mark in ((ALPHA, "a"), (NUMERIC, "n")):
             for at, lo, hi in table[kind]:
                 if at == k:
-                    kinds[lo:hi] = [mark] * (hi - lo)
-        parts, lo = [], 0
-        for mark, group in itertools.groupby(kinds):
-            width = len(list(group))
-            piece = F.substring(line, lo + 1, width)
-            parts.append(F.translate(piece, *TO_DIGIT) if mark == "n" else F.translate(piece, *TO_ALPHA) if mark == "a" else piece)
-            lo += width
-        return F.concat(*parts)
+                    row[lo:hi] = [mark] * (hi - lo)
+        rows.append("".join(row))
+    return F.array(*map(F.lit, rows))
+
+
+def spans(parts: list[tuple[int, int, int]]) -> Column:
+    return F.array(*(F.struct(F.lit(k).alias("k"), F.lit(lo + 1).alias("at"), F.lit(hi - lo).alias("n")) for k, lo, hi in parts))
+
 
-    n = 3 if kind == "TD1" else 2
-    bind = lambda k: let(F.rpad(F.get(lines, k), size, "<"), lambda x: fix(x, k))
-    return F.array(*map(bind, range(n)))
+def normalized(lines: Column, kind: Column) -> Column:
+    """Lines cut or filled to length, digits and letters put right where the format knows which stands."""
 
+    def fix(line: Column, mask: Column) -> Column:
+        chars = F.split(F.rpad(line, F.length(mask), F.lit("<")), "")
+        put = lambda ch, i: F.when(F.substring(mask, i + 1, F.lit(1)) == "n", F.translate(ch, *TO_DIGIT)).when(F.substring(mask, i + 1, F.lit(1)) == "a", F.translate(ch, *TO_ALPHA)).otherwise(ch)
+        return F.array_join(F.slice(F.transform(chars, put), F.lit(1), F.length(mask)), "")
 
-def piece(lines: Column, parts: list[tuple[int, int, int]]) -> Column:
-    cut = [F.substring(F.get(lines, k), lo + 1, hi - lo) for k, lo, hi in parts]
-    return F.concat(*cut) if len(cut) > 1 else cut[0]
+    return F.transform(F.try_element_at(by_kind(masks), kind), lambda mask, k: fix(F.get(lines, k), mask))
 
 
 def bare(c: Column) -> Column:
@@ -116,19 +121,25 @@ def short_date(c: Column, now_year: int, expiry: bool) -> Column:
     return F.when(c.rlike(r"^\d{6}$"), calendar_iso(year, m, d))
 
 
-def read_zone(lines: Column, kind: str, now_year: int) -> Column:
-    part = lambda name: piece(lines, FIELDS[kind][name])
-    checks = F.array(*(F.struct(F.lit(name).alias("field"), piece(lines, [(at[0], at[1], at[1] + 1)]).alias("expected"), icao_check(piece(lines, parts)).cast("string").alias("computed")) for name, (parts, at) in CHECKS[kind].items()))
-    name = part("name")
-    sex = part("sex")
-    fields = F.struct(
-        bare(part("document_type")).alias("document_type"), bare(part("issuing_country")).alias("issuing_country"),
-        bare(part("document_number")).alias("document_number"), bare(part("nationality")).alias("nationality"),
-        short_date(part("dob"), now_year, False).alias("date_of_birth"), short_date(part("expiry"), now_year, True).alias("date_of_expiry"),
-        F.when(sex.isin("M", "F", "X"), sex).alias("sex"), bare(part("optional_data")).alias("optional_data"),
-        words(F.regexp_replace(name, "<<.*$", "")).alias("surname"), words(F.when(name.contains("<<"), F.regexp_replace(name, "^.*?<<", ""))).alias("given_names"),
-    )
-    return let(checks, lambda c: F.struct(F.lit(kind).alias("format"), lines.alias("lines"), fields.alias("fields"), c.alias("checks"), status_of(c).alias("status")))
+def read_zone(lines: Column, kind: Column, now_year: int) -> Column:
+    """The parts of all formats are one literal table, so that one expression reads them all."""
+    piece = lambda parts: F.array_join(F.transform(parts, lambda p: F.substring(F.get(lines, p["k"]), p["at"], p["n"])), "")
+    names = [*VIZ, "optional_data", "name"]
+    table = by_kind(lambda k: F.array(*(spans(FIELDS[k][n]) for n in names)))
+    digits = by_kind(lambda k: F.array(*(F.struct(F.lit(n).alias("field"), spans(parts).alias("parts"), spans([(at[0], at[1], at[1] + 1)]).alias("at")) for n, (parts, at) in CHECKS[k].items())))
+    checks = F.transform(F.try_element_at(digits, kind), lambda c: F.struct(c["field"].alias("field"), piece(c["at"]).alias("expected"), icao_check(piece(c["parts"])).cast("string").alias("computed")))
+
+    def fields(raw: Column) -> Column:
+        get = lambda n: F.get(raw, names.index(n))
+        return F.struct(
+            *(bare(get(n)).alias(n) for n in ("document_type", "issuing_country", "document_number", "nationality")),
+            short_date(get("dob"), now_year, False).alias("date_of_birth"), short_date(get("expiry"), now_year, True).alias("date_of_expiry"),
+            F.when(get("sex").isin("M", "F", "X"), get("sex")).alias("sex"), bare(get("optional_data")).alias("optional_data"),
+            words(F.regexp_replace(get("name"), "<<.*$", "")).alias("surname"), words(F.when(F.contains(get("name"), F.lit("<<")), F.regexp_replace(get("name"), "^.*?<<", ""))).alias("given_names"),
+        )
+
+    read = let(F.transform(F.try_element_at(table, kind), piece), fields)
+    return let(checks, lambda c: F.struct(kind.alias("format"), lines.alias("lines"), read.alias("fields"), c.alias("checks"), status_of(c).alias("status")))
 
 
 def status_of(checks: Column) -> Column:
@@ -138,17 +149,8 @@ def status_of(checks: Column) -> Column:
 
 def parse_mrz(raw: Column, now_year: int) -> Column:
     """struct<format, lines, fields, checks, status>; null where no format fits."""
-    lines = clean_lines(raw)
-
-    def by_format(lines: Column) -> Column:
-        kind = detect_format(lines)
-        out = None
-        read = lambda name: let(normalized(lines, name), lambda x: read_zone(x, name, now_year))
-        for name in LENGTHS:
-            out = F.when(kind == name, read(name)) if out is None else out.when(kind == name, read(name))
-        return out
-
-    return let(lines, by_format)
+    read = lambda lines: let(detect_format(lines), lambda kind: F.when(kind != "unknown", let(normalized(lines, kind), lambda fixed: read_zone(fixed, kind, now_year))))
+    return let(clean_lines(raw), read)
 
 
 def line_score(text: Column) -> Column:
