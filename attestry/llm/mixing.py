@@ -84,9 +84,9 @@ def leaf_budgets(slim: DataFrame, weights: dict[str, dict[str, int]], share: flo
     """(levels, rows, tokens, quota) of every leaf."""
     leaves = slim.groupBy(*LEVELS).agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens"))
     leaves = leaves.withColumn("cap", F.col("tokens") * epochs)
-    total = leaves.agg(F.sum("tokens").alias("tokens"))
-    given = total.select(F.least(F.col("tokens") * F.lit(share), (F.col("tokens") * epochs).cast("double")).alias("budget"))
-    nodes = leaves.groupBy("domain").agg(F.sum("cap").alias("cap")).join(given, F.lit(True))
+    nodes = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    total = F.sum("tokens").over(W.partitionBy(F.lit(0)))  # of the tree's few domains
+    nodes = nodes.withColumn("budget", F.least(total * F.lit(share), (total * epochs).cast("double")))
     domains = family_shares(nodes, [], "domain", weights)
     nodes = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains.select("domain", F.col("share").alias("budget")), "domain")
     langs = family_shares(nodes, ["domain"], "lang", weights)
