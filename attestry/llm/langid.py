@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, sliced, texts
+from .common import SLICE_BYTES, arrow_map, sliced, texts
 from .words import SPACES, mix, words
 
 #: Labelled rows of a language in the sample, about; rounds of expectation maximisation.
@@ -204,45 +205,84 @@ def word_bytes(text: str) -> list[str]:
     return [data[s:e].decode() for s, e in zip(cut.start.tolist(), cut.end.tolist())]
 
 
+class Predictor:
+    """(language, posterior, mean logarithm) of texts, with a cache of word scores for the worker that holds it."""
+
+    def __init__(self, model: Model):
+        self.model, self.names = model, [*model.langs, "und"]
+        self.known, self.kept = np.zeros(0, np.uint64), np.zeros((0, len(model.langs) + 1))
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        langs = self.model.langs
+        cut = words([(t or "").encode() for t in texts], lower=True, space=BREAKS)
+        keys, first, back = np.unique(cut.hash, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE:
+            self.known, self.kept = self.known[:0], self.kept[:0]
+        at = np.searchsorted(self.known, keys)
+        new = self.known[np.minimum(at, len(self.known) - 1)] != keys if len(self.known) else np.ones(len(keys), bool)
+        if new.any():
+            parts = [letters(cut.bytes_of(i).decode()) for i in first[new].tolist()]
+            rows = np.concatenate([self.model.scores(parts), np.array([[len(x)] for x in parts], float)], 1)
+            self.known, self.kept = np.insert(self.known, at[new], keys[new]), np.insert(self.kept, at[new], rows, axis=0)
+            at = np.searchsorted(self.known, keys)
+        rows = self.kept[at]
+        total = np.stack([cut.per_doc(rows[back, k]) for k in range(rows.shape[1])], 1)
+        logs, n = total[:, :-1], total[:, -1]
+        some = (n > 0.5) & bool(langs)
+        best = np.full(len(n), len(langs))
+        score, mean = np.zeros(len(n)), np.zeros(len(n))
+        if some.any():
+            best[some] = logs[some].argmax(1)
+            top = logs[some].max(1)
+            score[some] = 1 / np.exp(logs[some] - top[:, None]).sum(1)
+            mean[some] = top / n[some]
+        return [self.names[b] for b in best], score, mean
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, fit) of every row: the language, its posterior, and the mean logarithm of a word's
     probability in it. A text that is null or has no letter is 'und' with score 0 and fit 0."""
-    langs = [*model.langs, "und"]
 
     def make():
-        known, kept = np.zeros(0, np.uint64), np.zeros((0, len(model.langs) + 1))
+        tell = Predictor(model)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal known, kept
-            cut = words([t.encode() for t in batch.column("text").to_pylist()], lower=True, space=BREAKS)
-            keys, first, back = np.unique(cut.hash, return_index=True, return_inverse=True)
-            if len(known) > CACHE:
-                known, kept = known[:0], kept[:0]
-            at = np.searchsorted(known, keys)
-            new = known[np.minimum(at, len(known) - 1)] != keys if len(known) else np.ones(len(keys), bool)
-            if new.any():
-                parts = [letters(cut.bytes_of(i).decode()) for i in first[new].tolist()]
-                rows = np.concatenate([model.scores(parts), np.array([[len(x)] for x in parts], float)], 1)
-                known, kept = np.insert(known, at[new], keys[new]), np.insert(kept, at[new], rows, axis=0)
-                at = np.searchsorted(known, keys)
-            rows = kept[at]
-            total = np.stack([cut.per_doc(rows[back, k]) for k in range(rows.shape[1])], 1)
-            logs, n = total[:, :-1], total[:, -1]
-            some = (n > 0.5) & bool(model.langs)
-            best = np.full(len(n), len(model.langs))
-            score, mean = np.zeros(len(n)), np.zeros(len(n))
-            if some.any():
-                best[some] = logs[some].argmax(1)
-                top = logs[some].max(1)
-                score[some] = 1 / np.exp(logs[some] - top[:, None]).sum(1)
-                mean[some] = top / n[some]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([langs[b] for b in best], pa.string()), pa.array(score), pa.array(mean)], ["doc_id", "lang_pred", "score", "fit"])
+            lang, score, mean = tell(batch.column("text").to_pylist())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(mean)], ["doc_id", "lang_pred", "score", "fit"])
 
         return step
 
     return arrow_map(texts(docs, id_col, text_col), make, "doc_id long, lang_pred string, score double, fit double")
 
 
+def told(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """docs, all columns, whose language is told with a posterior of at least ``least``. Only the texts travel to Python."""
+
+    @F.pandas_udf("boolean")
+    def sure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tell = Predictor(model)
+        for batch in batches:
+            out = []
+            for part in text_slices(batch.tolist()):
+                lang, score, _ = tell(part)
+                out += [name != "und" and s >= least for name, s in zip(lang, score)]
+            yield pd.Series(out, dtype=bool)
+
+    return docs.filter(sure(F.col(text_col)))
+
+
+def text_slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    now, size = [], 0
+    for t in texts:
+        now.append(t)
+        size += len(t or "")
+        if size >= SLICE_BYTES:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
 def held_out(doc_id):
     """Rows kept out of the fit: crc32 of the id's text leaves 1 by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

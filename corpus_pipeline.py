@@ -19,8 +19,7 @@ SURE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: those without a letter, or between languages, go."""
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))), tokenizer_path("piece_bpe_32k.model"))
-    told = langid.predict(docs, model).filter(F.col("lang_pred") != "und").filter(F.col("score") >= SURE)
-    return docs.join(durable(told.select("doc_id").distinct()), "doc_id", "left_semi").select(*docs.columns)
+    return langid.told(docs, model, SURE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
