@@ -15,6 +15,7 @@ so that a size which many documents share does not meet in one task.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -27,9 +28,6 @@ from . import bpe
 from .common import arrow_map, durable, sliced, texts
 
 CAPACITY = 2048
-#: Pieces of one run that are ranked in one window, about.
-RANKED = 20_000
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -137,8 +135,7 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 
 def ranked(table: DataFrame, keys: list[str]) -> DataFrame:
     """table with ``rank``: each row's place, from 0, among the rows of its length. Equal keys are equal rows."""
-    n = table.count()
-    blocks = max(1, n // RANKED)
+    blocks = max(1, math.isqrt(table.count()))  # a run's blocks, and the rows of a block, grow alike
     table = table.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
     sizes = table.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
