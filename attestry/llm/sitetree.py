@@ -1,6 +1,7 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree whose nodes are element paths (tag, classes, id). Over
+The pages of a host are merged into one tree whose nodes are element paths (tag, classes, id); the
+elements of one path on a page, such as the paragraphs of an article, are one node with all their text. Over
 the distinct pages that have a node, its importance mixes two entropies, each between 0 and 1:
 presentation (how varied the sequences of child elements are) and content (how varied its text is).
 A branch that looks and reads the same everywhere is template, and goes; so does a text block that
@@ -174,6 +175,14 @@ def read(html: str, nodes: bool = False) -> Reader:
     return reader
 
 
+def page_nodes(nodes: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """One (path, style, content) for each path of a page: of several elements, the hash of all their values in order."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for path, style, content in nodes:
+        found.setdefault(path, []).append((style, content))
+    return [(path, *(v[0] if len(v) == 1 else xxhash.xxh64_intdigest(np.array(v, np.int64).tobytes()) >> 1 for v in zip(*values))) for path, values in found.items()]
+
+
 def block_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
@@ -205,11 +214,9 @@ def style_tree(rows: DataFrame) -> DataFrame:
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 reader = read(html, nodes=True)
                 blocks = sorted({block_hash(t) for _, noise, _, t in reader.blocks if not noise})
-                seen = {}
-                for path, style, content in reader.nodes:
-                    seen.setdefault(path, (path, style, content))
+                seen = page_nodes(reader.nodes)
                 sign = xxhash.xxh64_intdigest(np.array(blocks, np.int64).tobytes()) >> 1
-                out.append({"host": host, "sign": sign, "nodes": [dict(zip(("path", "style", "content"), v)) for v in seen.values()], "blocks": blocks})
+                out.append({"host": host, "sign": sign, "nodes": [dict(zip(("path", "style", "content"), v)) for v in seen], "blocks": blocks})
             node = pa.struct([("path", pa.string()), ("style", pa.int64()), ("content", pa.int64())])
             return pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("sign", pa.int64()), ("nodes", pa.list_(node)), ("blocks", pa.list_(pa.int64()))]))
 

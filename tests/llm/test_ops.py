@@ -267,6 +267,13 @@ def test_repeated_template_goes(spark):
     assert sitetree.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_paragraphs_behind_a_fixed_first_one_stay(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><article><p>By the staff {i % 2}</p><p>Own text {i} a</p><p>Own text {i} b</p></article></body>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collect(sitetree.extract_main_text(pages), "page_id", "text")
+    assert all(t.endswith(f"Own text {i} a\nOwn text {i} b") for i, t in got) and len(got) == 300
+
+
 # --- Jaccard join -----------------------------------------------------------------------------------------
 
 
