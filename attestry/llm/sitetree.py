@@ -4,8 +4,9 @@ The pages of a host are merged into one tree whose nodes are element paths (tag,
 elements of one path on a page, such as the paragraphs of an article, are one node with all their text. Over
 the distinct pages that have a node, its importance mixes two entropies, each between 0 and 1:
 presentation (how varied the sequences of child elements are) and content (how varied its text is).
-A branch that looks and reads the same everywhere is template, and goes; so does a text block that
-a good part of the host's pages repeat. Elements that HTML or their names declare to be navigation,
+A branch that looks and reads the same everywhere is template, and goes; so does a text block outside
+article and main elements that a good part of the host's pages repeat, where near copies of a page
+(pages of mostly the same repeated blocks) count as one. Elements that HTML or their names declare to be navigation,
 adverts, forms, comments and the like have no importance whatever their text. Copies of a page count
 once. What is left inside the article (or main) element, else all that is left, is the main text.
 
@@ -22,7 +23,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, durable
@@ -33,6 +34,8 @@ GAMMA, LOW = 0.9, 0.25
 PAGES, SHARE = 8, 0.1
 #: Share of a host's distinct pages that must repeat a block for it to go.
 REPEATED = 0.3
+#: Share of a page's text in blocks of m pages or more from which the page counts as one of m near copies.
+NEAR = 0.5
 #: Hosts up to which the table of low nodes is broadcast; beyond it, it joins by a salted key.
 HOSTS = 20_000
 SALTS = 64
@@ -190,7 +193,7 @@ def block_hash(text: str) -> int:
 def main_text(html: str, low_paths: set[str], low_blocks: set[int]) -> str:
     kept = []
     for path, noise, main, text in read(html).blocks:
-        if noise or block_hash(text) in low_blocks:
+        if noise or (not main and block_hash(text) in low_blocks):
             continue
         if low_paths and any(path[:k] in low_paths for k in [*(m.start() for m in re.finditer(">", path)), len(path)] if k):
             continue
@@ -205,6 +208,34 @@ def page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
 
+def page_weights():
+    """Rows (host, blocks, sizes, often, counts) -> (host, weight, shared): 1 / m of a page that is one of m near copies, and its repeated blocks."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for host, blocks, sizes, often, counts in zip(*(batch.column(c).to_pylist() for c in ("host", "blocks", "sizes", "often", "counts"))):
+            pages = dict(zip(often, counts))
+            shared = [b for b in blocks if b in pages]
+            left, copies = NEAR * sum(sizes), 1
+            for m, size in sorted(((pages.get(b, 1), size) for b, size in zip(blocks, sizes)), reverse=True):
+                left -= size
+                if left <= 0:
+                    copies = m
+                    break
+            out.append({"host": host, "weight": 1 / copies, "shared": shared})
+        return pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("weight", pa.float64()), ("shared", pa.list_(pa.int64()))]))
+
+    return step
+
+
+def of_host(rows: DataFrame, table: DataFrame, key: Column, how: str) -> DataFrame:
+    """rows with the columns of a table by host: broadcast, or beyond HOSTS rows joined by a salted key."""
+    if table.count() <= HOSTS:
+        return rows.join(F.broadcast(table), "host", how)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(key, F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], how)
+
+
 def style_tree(rows: DataFrame) -> DataFrame:
     """(host, paths, blocks): the low-importance nodes and the repeated blocks of each host that has any."""
 
@@ -213,16 +244,17 @@ def style_tree(rows: DataFrame) -> DataFrame:
             out = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 reader = read(html, nodes=True)
-                blocks = sorted({block_hash(t) for _, noise, _, t in reader.blocks if not noise})
+                sizes = {block_hash(t): len(t) for _, noise, _, t in reader.blocks if not noise}
+                blocks = sorted(sizes)
                 seen = page_nodes(reader.nodes)
                 sign = xxhash.xxh64_intdigest(np.array(blocks, np.int64).tobytes()) >> 1
-                out.append({"host": host, "sign": sign, "nodes": [dict(zip(("path", "style", "content"), v)) for v in seen], "blocks": blocks})
+                out.append({"host": host, "sign": sign, "nodes": [dict(zip(("path", "style", "content"), v)) for v in seen], "blocks": blocks, "sizes": [sizes[b] for b in blocks]})
             node = pa.struct([("path", pa.string()), ("style", pa.int64()), ("content", pa.int64())])
-            return pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("sign", pa.int64()), ("nodes", pa.list_(node)), ("blocks", pa.list_(pa.int64()))]))
+            return pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("sign", pa.int64()), ("nodes", pa.list_(node)), ("blocks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]))
 
         return step
 
-    seen = arrow_map(rows.filter("host <> ''").select("host", "html"), make, "host string, sign long, nodes array<struct<path:string,style:long,content:long>>, blocks array<long>")
+    seen = arrow_map(rows.filter("host <> ''").select("host", "html"), make, "host string, sign long, nodes array<struct<path:string,style:long,content:long>>, blocks array<long>, sizes array<long>")
     seen = durable(seen.dropDuplicates(["host", "sign"]))
     hosts = seen.groupBy("host").agg(F.count("*").alias("all"))
 
@@ -235,8 +267,15 @@ def style_tree(rows: DataFrame) -> DataFrame:
     nodes = entropy("content").join(entropy("style").drop("n"), ["host", "path"]).join(hosts, "host")
     importance = GAMMA * F.col("content") + (1 - GAMMA) * F.col("style")
     low = nodes.filter((F.col("n") >= SHARE * F.col("all")) & (importance < LOW)).groupBy("host").agg(F.collect_list("path").alias("paths"))
-    blocks = seen.select("host", F.explode("blocks").alias("b")).groupBy("host", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= PAGES).join(hosts, "host")
-    blocks = blocks.filter(F.col("c") >= REPEATED * F.col("all")).groupBy("host").agg(F.collect_list("b").alias("blocks"))
+    often = seen.select("host", F.explode("blocks").alias("b")).groupBy("host", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= PAGES).join(hosts, "host")
+    often = often.filter(F.col("c") >= REPEATED * F.col("all")).groupBy("host").agg(F.collect_list("b").alias("often"), F.collect_list("c").alias("counts"))
+    weighed = of_host(seen.select("host", "blocks", "sizes"), durable(often), F.xxhash64("blocks"), "inner")
+    weighed = durable(arrow_map(weighed.select("host", "blocks", "sizes", "often", "counts"), page_weights, "host string, weight double, shared array<long>"))
+    # pages without any such block are one each
+    total = weighed.groupBy("host").agg(F.sum(1 - F.col("weight")).alias("less")).join(hosts, "host").select("host", (F.col("all") - F.col("less")).alias("total"))
+    blocks = weighed.select("host", "weight", F.explode("shared").alias("b")).groupBy("host", "b").agg(F.sum("weight").alias("c")).join(total, "host")
+    slack = 1e-6
+    blocks = blocks.filter((F.col("c") + slack >= PAGES) & (F.col("c") + slack >= REPEATED * F.col("total"))).groupBy("host").agg(F.collect_list("b").alias("blocks"))
     return low.join(blocks, "host", "full_outer")
 
 
@@ -247,11 +286,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     host belong to no tree: only what HTML declares is removed. Repeated rows give repeated rows. Other columns are ignored."""
     rows = page_rows(pages, id_col, url_col, html_col)
     low = durable(style_tree(rows))
-    if low.count() <= HOSTS:
-        rows = rows.join(F.broadcast(low), "host", "left")
-    else:
-        salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = of_host(rows, low, F.xxhash64("page_id"), "left")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

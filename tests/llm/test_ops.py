@@ -274,6 +274,16 @@ def test_paragraphs_behind_a_fixed_first_one_stay(spark):
     assert all(t.endswith(f"Own text {i} a\nOwn text {i} b") for i, t in got) and len(got) == 300
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_paragraphs_of_near_copies_stay(spark, tag):
+    shared = [f"Paragraph {k} of a text that others copy with one line changed" for k in range(6)]
+    texts = [[*shared, f"Copy {i}"] if i < 10 else [f"Own text {i} {k} of the page alone" for k in range(6)] for i in range(26)]
+    line = "<div class='x'><p>A line of all pages</p></div>" if tag == "article" else "<p>A line of all pages</p>"
+    rows = [(i, f"http://h.example/{i}", f"<body><{tag}>{'' if tag == 'article' else line}{''.join(f'<p>{p}</p>' for p in t)}</{tag}>{line if tag == 'article' else ''}</body>") for i, t in enumerate(texts)]
+    got = dict(collect(sitetree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
+    assert got == {i: "\n".join(t) for i, t in enumerate(texts)}
+
+
 # --- Jaccard join -----------------------------------------------------------------------------------------
 
 
