@@ -37,14 +37,20 @@ def new_contents(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return incoming.join(known.select("sha256").distinct(), "sha256", "left_anti")
 
 
+def hash_classes(hashes: DataFrame) -> DataFrame:
+    """(family_id, phash, id, copies): the smallest id and the number of rows of each hash of a family."""
+    hashes = hashes.filter(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).withColumn("phash", F.lower("phash"))
+    return hashes.groupBy("family_id", "phash").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+
+
 def near_duplicates(hashes: DataFrame, limit: int = 8) -> DataFrame:
     """(a, b, distance): pairs a < b of one family whose 64-bit hashes differ in at most ``limit`` (up to 8) bits.
 
     hashes: family_id, id, phash (16 hexadecimal digits). Of limit + 1 bands at least one is equal, so pairs are found by
-    equal bands; a pair is listed in its first common band only. Equal hashes are compared once, through their smallest id."""
+    equal bands; a pair is listed in its first common band only. Equal hashes are compared once, through their smallest id:
+    near_duplicate_members tells which ids that one stands for."""
     n = limit + 1
-    hashes = hashes.filter(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).withColumn("phash", F.lower("phash"))
-    distinct = hashes.groupBy("family_id", "phash").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    distinct = hash_classes(hashes)
     bits = F.concat(*(F.lpad(F.conv(F.substring("phash", k, 8), 16, 2), 32, "0") for k in (1, 9)))
     cut = [64 * k // n for k in range(n + 1)]
     banded = distinct.withColumn("bits", bits).withColumn("bands", F.array(*(F.substring("bits", a + 1, b - a) for a, b in zip(cut, cut[1:]))))
@@ -56,6 +62,23 @@ def near_duplicates(hashes: DataFrame, limit: int = 8) -> DataFrame:
     return met.filter(F.col("distance") <= limit).select("family_id", F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance")
 
 
+def near_duplicate_members(hashes: DataFrame, limit: int = 8) -> DataFrame:
+    """(family_id, id, representative, copies, n_links) of every row with a family and a hash of 16 digits.
+
+    representative: the smallest id with the same family and hash, as listed by near_duplicates; copies: the rows it stands
+    for, itself included; n_links: the other rows of the family within ``limit`` bits, equal hashes included."""
+    classes = hash_classes(hashes)
+    pairs = near_duplicates(hashes, limit)
+    both = F.array(*(F.struct(F.col(x).alias("id"), F.col(y).alias("other")) for x, y in ("ab", "ba")))
+    ends = pairs.select("family_id", F.explode(both).alias("e")).select("family_id", "e.*")
+    size = classes.select("family_id", F.col("id").alias("other"), F.col("copies").alias("m"))
+    links = ends.join(size, ["family_id", "other"]).groupBy("family_id", "id").agg(F.sum("m").alias("far"))
+    classes = classes.join(links, ["family_id", "id"], "left").withColumnRenamed("id", "representative")
+    rows = hashes.select("family_id", "id", F.lower("phash").alias("phash"))
+    found = rows.join(classes, ["family_id", "phash"])
+    return found.select("family_id", "id", "representative", "copies", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
 # --- schemas and values -------------------------------------------------------------------------
 
 

@@ -302,11 +302,26 @@ d AS (SELECT b, label, min(vec_id) AS id FROM h GROUP BY b, label)
 SELECT x.label::VARCHAR AS family_id, x.id AS a, y.id AS b, list_sum([abs(p[1] - p[2]) FOR p IN list_zip(x.b, y.b)])::INT AS distance
 FROM d x JOIN d y ON x.label = y.label AND x.id < y.id WHERE list_sum([abs(p[1] - p[2]) FOR p IN list_zip(x.b, y.b)]) <= 8""")
 def q_near_duplicates(spark, sf_dir):
-    """Sign bits of the embeddings as 64-bit hashes: pairs within 8 bits, by label."""
+    """Sign bits of the embeddings as 64-bit hashes: pairs within 8 bits, by label, of the first ids of equal hashes."""
+    return workspace.near_duplicates(sign_hashes(spark, sf_dir))
+
+
+@query("""
+WITH h AS (SELECT vec_id, label, [(x >= 0)::INT FOR x IN embedding[1:64]] AS b FROM embeddings),
+d AS (SELECT b, label, min(vec_id) AS id, count(*) AS copies FROM h GROUP BY b, label),
+l AS (SELECT x.id, sum(y.copies) AS n FROM d x JOIN d y ON x.label = y.label AND list_sum([abs(p[1] - p[2]) FOR p IN list_zip(x.b, y.b)]) <= 8 GROUP BY x.id)
+SELECT h.label::VARCHAR AS family_id, h.vec_id AS id, d.id AS representative, d.copies::BIGINT AS copies, (l.n - 1)::BIGINT AS n_links
+FROM h JOIN d ON h.label = d.label AND h.b = d.b JOIN l ON l.id = d.id""")
+def q_near_duplicate_members(spark, sf_dir):
+    """Every embedding with the first id of its sign bits and the number of others within 8 bits, by label."""
+    return workspace.near_duplicate_members(sign_hashes(spark, sf_dir))
+
+
+def sign_hashes(spark, sf_dir) -> DataFrame:
     bit = F.transform(F.slice("embedding", 1, 64), lambda x: F.when(x >= 0, "1").otherwise("0"))
     half = lambda a, b: F.lpad(F.lower(F.conv(F.array_join(F.slice("bits", a, b), ""), 2, 16)), 8, "0")
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("family_id"), F.col("vec_id").alias("id"), bit.alias("bits"))
-    return workspace.near_duplicates(rows.select("family_id", "id", F.concat(half(1, 32), half(33, 32)).alias("phash")))
+    return rows.select("family_id", "id", F.concat(half(1, 32), half(33, 32)).alias("phash"))
 
 
 @query("SELECT lower(replace(p_type, ' ', '_')) AS field_id, min(p_partkey) AS first FROM part GROUP BY 1")

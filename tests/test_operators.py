@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from attestry.functions import checksums as C
 from attestry.functions import mrz
 from attestry.functions import scalars as S
-from attestry.operators import consensus, decode, gate, layout, learning, tables
+from attestry.operators import consensus, decode, gate, layout, learning, tables, workspace
 from attestry.sources import files, stores
 from attestry.streaming import routing, windows
 
@@ -271,3 +271,15 @@ def test_partial_zone(spark):
 def test_text_layer(spark):
     reads = spark.createDataFrame([("a", "total due", "Total Due"), ("a", "abc def", "zzz"), ("b", "x y z", "x y z"), ("b", "one", "one"), ("b", "two", "qqq")], "doc_id string, claimed string, seen string")
     assert {r.doc_id: r.trusted for r in layout.text_layer_trust(reads).collect()} == {"a": False, "b": True}
+
+
+def test_members_of_near_duplicates(spark):
+    rows = [("f", 5, "00" * 8), ("f", 2, "00" * 8), ("f", 9, "00" * 7 + "0F"), ("f", 7, "00" * 7 + "0f"), ("f", 1, "ff" * 8), ("g", 3, "00" * 8), ("g", 4, "none")]
+    got = workspace.near_duplicate_members(spark.createDataFrame(rows, "family_id string, id long, phash string")).collect()
+    near = lambda x, y: bin(int(x, 16) ^ int(y, 16)).count("1") <= 8
+    valid = [(f, i, h.lower()) for f, i, h in rows if h != "none"]
+    want = set()
+    for f, i, h in valid:
+        same = [j for g, j, k in valid if (g, k) == (f, h)]
+        want.add((f, i, min(same), len(same), sum(g == f and near(h, k) for g, _, k in valid) - 1))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
