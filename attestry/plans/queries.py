@@ -512,7 +512,7 @@ def q_row_products(spark, sf_dir):
 
 def pages_of(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 1000000)).alias("page", "text"))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("page", "text"))
 
 
 @query(r"WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents), k AS (SELECT doc_id, CASE WHEN length(regexp_replace(t, '[ \t\n\r\f\v]+', '', 'g')) >= 32 THEN 'digital' ELSE 'scanned' END AS kind FROM p) SELECT doc_id::VARCHAR AS doc_id, CASE WHEN count(DISTINCT kind) > 1 THEN 'hybrid' ELSE min(kind) END AS kind FROM k GROUP BY doc_id")

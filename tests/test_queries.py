@@ -27,3 +27,9 @@ def test_known_duplicates_of_any_document(spark, tmp_path):
     rows = [(5, "a"), (150, "b"), (160, "b"), (170, "a"), (180, None), (190, None), (200, "b"), (210, "c")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in Q.q_known_duplicates_all(spark, str(tmp_path)).collect()) == [160, 170, 200]
+
+
+def test_document_kinds_reads_past_a_million_lines(spark, tmp_path):
+    rows = [(1, "\n" * 1_000_000 + "x" * 40), (2, "\n" * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, Q.q_document_kinds(spark, str(tmp_path)).select("doc_id", "kind").collect())) == [("1", "hybrid"), ("2", "scanned")]
