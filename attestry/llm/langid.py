@@ -29,8 +29,10 @@ from .words import SPACES, mix, words
 
 #: Labelled rows of a language in the sample, about; rounds of expectation maximisation.
 ROWS, ROUNDS = 600, 3
-#: Characters of the longest piece used; longer words are scored in parts of PART characters.
-LONGEST, PART = 7, 32
+#: Characters of the longest piece a vocabulary may have; characters from which a word's sums are formed in logarithms.
+LONGEST, PART = 16, 34
+#: Long words, and their characters, that are looked up at once.
+LONG, STEP = 64, 4096
 #: Added to every piece's expected count; the probability of a character outside the vocabulary.
 PRIOR, UNKNOWN = 0.05, 1e-8
 #: Distinct words whose scores a worker keeps.
@@ -43,7 +45,7 @@ BREAKS[[b for b in range(128) if not chr(b).isalpha()]] = True
 
 
 def letters(word: str) -> list[str]:
-    """A word's runs of letters and marks, lower case, in parts."""
+    """A word's runs of letters and marks, lower case, each whole."""
     word = unicodedata.normalize("NFC", word).lower()
     runs, now = [], ""
     for ch in word + " ":
@@ -52,7 +54,7 @@ def letters(word: str) -> list[str]:
         elif now:
             runs.append(now)
             now = ""
-    return [START + r[k : k + PART] if not k else r[k : k + PART] for r in runs for k in range(0, len(r), PART)]
+    return [START + r for r in runs]
 
 
 @dataclass
@@ -77,7 +79,7 @@ class Pieces:
         upto = np.zeros((len(parts), wide + 1), np.uint64)
         for i in range(wide):
             upto[:, i + 1] = upto[:, i] * BASE + points[:, i] + np.uint64(1)
-        number = np.full((min(LONGEST, wide), len(parts), wide), -1, np.int32)
+        number = np.full((min(max(map(len, self.names)), wide), len(parts), wide), -1, np.int32)
         power = 1
         for k in range(number.shape[0]):
             power = power * int(BASE) & 0xFFFFFFFFFFFFFFFF
@@ -96,12 +98,15 @@ def hash_of(text: str) -> np.uint64:
 
 
 def vocabulary(model_file: str) -> list[str]:
-    """Lower-case pieces of letters, with or without the word start, of at most LONGEST characters."""
+    """Lower-case pieces of letters, with or without the word start."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     names = {sp.id_to_piece(i) for i in range(sp.get_piece_size())}
-    return sorted(n for n in names if len(n) <= LONGEST and n == n.lower() and (n == START or n.removeprefix(START).isalpha()))
+    used = sorted(n for n in names if n == n.lower() and (n == START or n.removeprefix(START).isalpha()))
+    if max(map(len, used)) > LONGEST:
+        raise ValueError(f"{model_file}: pieces of more than {LONGEST} characters")
+    return used
 
 
 def forward(size: np.ndarray, number: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -111,15 +116,68 @@ def forward(size: np.ndarray, number: np.ndarray, p: np.ndarray) -> np.ndarray:
     alpha[0] = 1
     for i in range(1, wide + 1):
         for k in range(min(depth, i)):
-            alpha[i] += alpha[i - k - 1] * p[number[k, :, i - 1]]
+            some = np.flatnonzero(number[k, :, i - 1] >= 0)
+            if len(some) == n:
+                alpha[i] += alpha[i - k - 1] * p[number[k, :, i - 1]]
+            elif len(some):
+                alpha[i, some] += alpha[i - k - 1, some] * p[number[k, some, i - 1]]
     return alpha
 
 
+def log_of(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p)
+
+
+def log_sum(terms: np.ndarray) -> np.ndarray:
+    top = terms.max(0)
+    return top + np.log(np.exp(terms - top).sum(0))
+
+
+def log_forward(words: list[str], pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+    """Logarithm of forward's sum for whole words of any length; the state goes on from one STEP of characters to the next."""
+    size, depth = np.array([len(w) for w in words]), max(map(len, pieces.names))
+    state = np.full((depth, len(words), *logs.shape[1:]), -np.inf)
+    state[0] = 0
+    out = np.zeros(state.shape[1:])
+    for lo in range(0, int(size.max()), STEP):
+        back = min(lo, depth - 1)
+        _, number = pieces.tables([w[lo - back : lo + STEP] for w in words])
+        for i in range(back, number.shape[2]):
+            now = log_sum(state[: len(number)] + logs[number[:, :, i]])
+            state = np.concatenate([now[None], state[:-1]])
+            done = size == lo - back + i + 1
+            out[done] = now[done]
+    return out
+
+
+def log_expected(size: np.ndarray, number: np.ndarray, logs: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces in words of any length, by forward and backward sums in logarithms."""
+    depth, n, wide = number.shape
+    row, v = np.arange(n), len(logs)
+    alpha, beta = np.full((wide + 1, n), -np.inf), np.full((wide + 1, n), -np.inf)
+    alpha[0] = 0
+    for i in range(1, wide + 1):
+        k = np.arange(min(depth, i))
+        alpha[i] = log_sum(alpha[i - k - 1] + logs[number[k, :, i - 1]])
+    total = alpha[size, row]
+    beta[size, row] = 0
+    expected = np.zeros(v)
+    for i in range(wide, 0, -1):
+        for k in range(min(depth, i)):
+            idx = number[k, :, i - 1]
+            flow = beta[i] + logs[idx]
+            beta[i - k - 1] = np.logaddexp(beta[i - k - 1], flow)
+            expected += np.bincount(idx + (idx < 0) * v, np.exp(alpha[i - k - 1] + flow - total) * w, v)
+    return expected
+
+
 def fit(counts: dict[str, int], pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language, with the unknown character's and a closing 0."""
     parts = sorted(counts, key=lambda w: (len(w), w))
     weight = np.array([counts[w] for w in parts], float)
-    blocks = [(pieces.tables(parts[k : k + 8192]), weight[k : k + 8192]) for k in range(0, len(parts), 8192)]
+    first = sum(len(x) < PART for x in parts)
+    blocks = [(pieces.tables(parts[k : min(k + 8192, first)]), weight[k : min(k + 8192, first)]) for k in range(0, first, 8192)]
     v = len(pieces.names)
     p = np.concatenate([np.full(v, 1 / v), [UNKNOWN, 0.0]])
     for _ in range(rounds):
@@ -133,10 +191,14 @@ def fit(counts: dict[str, int], pieces: Pieces, rounds: int = ROUNDS) -> np.ndar
             beta[size, row] = 1
             for i in range(wide, 0, -1):
                 for k in range(min(depth, i)):
-                    idx = number[k, :, i - 1]
-                    flow = beta[i] * p[idx]
-                    beta[i - k - 1] += flow
-                    expected += np.bincount(idx + (idx < 0) * (v + 2), alpha[i - k - 1] * flow * w / total, v + 2)
+                    some = np.flatnonzero(number[k, :, i - 1] >= 0)
+                    if len(some):
+                        idx = number[k, some, i - 1]
+                        flow = beta[i, some] * p[idx]
+                        beta[i - k - 1, some] += flow
+                        expected += np.bincount(idx, alpha[i - k - 1, some] * flow * w[some] / total[some], v + 2)
+        for k in range(first, len(parts), LONG):
+            expected += log_expected(*pieces.tables(parts[k : k + LONG]), log_of(p), weight[k : k + LONG])
         p[:v] = (expected[:v] + PRIOR) / (expected[:v] + PRIOR).sum()
     return p
 
@@ -152,11 +214,15 @@ class Model:
         flat = [(len(x), k, x) for k, xs in enumerate(parts) for x in xs]
         flat.sort(key=lambda t: t[0])
         out = np.zeros((len(parts), len(self.langs)))
-        for lo in range(0, len(flat), 8192):
-            some = flat[lo : lo + 8192]
+        first = sum(size < PART for size, _, _ in flat)
+        for lo in range(0, first, 8192):
+            some = flat[lo : min(lo + 8192, first)]
             size, number = self.pieces.tables([x for _, _, x in some])
             alpha = forward(size, number, self.p)
             np.add.at(out, [k for _, k, _ in some], np.log(alpha[size, np.arange(len(some))]))
+        for lo in range(first, len(flat), LONG):
+            some = flat[lo : lo + LONG]
+            np.add.at(out, [k for _, k, _ in some], log_forward([x for _, _, x in some], self.pieces, log_of(self.p)))
         return out
 
 

@@ -127,6 +127,36 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(alpha[size, np.arange(len(words))], [walk(w) for w in words], rtol=1e-12)
 
 
+def test_no_piece_and_no_cut_of_a_word_is_left_out(monkeypatch):
+    names = langid.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    assert len(names) == 22240 and max(map(len, names)) == 16
+    word = "ab" * 40 + max(names, key=len).strip("▁") + "b" * 30
+    assert langid.letters(word) == ["▁" + word]
+    pieces = langid.Pieces.of(names)
+    rng = np.random.default_rng(0)
+    p = np.concatenate([rng.random((len(names), 2)) / len(names), [[langid.UNKNOWN] * 2, [0, 0]]])
+    where = {n: k for k, n in enumerate(names)}
+    words = ["▁" + word, "▁" + word[7:60], "▁international", "▁" + word[:33], "▁" + word[:32]]
+
+    def brute(w, q):
+        sums = [1.0]
+        for i in range(1, len(w) + 1):
+            sums.append(sum(sums[j] * (q[where[w[j:i]]] if w[j:i] in where else langid.UNKNOWN if i - j == 1 else 0) * 1e2 ** (i - j) for j in range(max(0, i - 16), i)))
+        return np.log(sums[-1]) - len(w) * np.log(1e2)
+
+    monkeypatch.setattr(langid, "STEP", 20)
+    got = langid.Model(["x", "y"], pieces, p).scores([[w] for w in words])
+    assert np.allclose(got, [[brute(w, p[:, c]) for c in (0, 1)] for w in words], rtol=1e-9)
+
+
+def test_long_words_are_fitted_as_short_ones(monkeypatch):
+    pieces = langid.Pieces.of(["a", "ab", "abc", "b", "bc", "c", "▁", "▁a"])
+    counts = {"▁abcab": 3, "▁a": 2, "▁xbc": 1, "▁abcabcabc": 5}
+    want = langid.fit(counts, pieces)
+    monkeypatch.setattr(langid, "PART", 4)
+    assert np.allclose(langid.fit(counts, pieces), want, rtol=1e-9)
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = queries.op2_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").collect()
