@@ -317,13 +317,14 @@ def test_paragraphs_of_near_copies_stay(spark, tag):
 # --- Jaccard join -----------------------------------------------------------------------------------------
 
 
-def brute_components(rows, n, percent):
+def brute_join(rows, n, percent):
+    """(n_shingles, component, links) of every document; rows: documents of one text each."""
     sets = {}
     for i, t in rows:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
         w = re.findall(r"[^\x20\x09-\x0d]+", low)
         sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
-    root = {i: i for i in sets}
+    root, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def find(x):
         while root[x] != x:
@@ -338,7 +339,13 @@ def brute_components(rows, n, percent):
                 if 100 * m >= percent * (len(sets[a]) + len(sets[b]) - m):
                     x, y = find(a), find(b)
                     root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in sets}
+                    links[a] += 1
+                    links[b] += 1
+    return {i: (len(sets[i]), find(i), links[i]) for i in sets}
+
+
+def brute_components(rows, n, percent):
+    return {i: r[:2] for i, r in brute_join(rows, n, percent).items()}
 
 
 def near_copies(seed, groups, copies, length, edits):
@@ -354,36 +361,60 @@ def near_copies(seed, groups, copies, length, edits):
     return rows
 
 
+def joined_rows(spark, rows, n, percent):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_join(odd_docs(spark, rows), n, percent).collect()}
+
+
 @pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
 def test_join_equals_brute_force(spark, n, percent):
-    rows = near_copies(3, 3, 70, 110, 7)  # cells far beyond SMALL: regions are joined
+    rows = near_copies(3, 3, 70, 110, 7)
     rows += [(1000 + k, t) for k, t in enumerate(["", None, "a", "A", "a b", "a b c", "a  b\tc", "x y z w", "X Y z w", " "])]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(odd_docs(spark, rows), n, percent).collect()}
-    assert got == brute_components(rows, n, percent)
+    assert joined_rows(spark, rows, n, percent) == brute_join(rows, n, percent)
 
 
-def test_split_regions_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "REGION", 40)
-    rows = near_copies(5, 1, 150, 60, 5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(odd_docs(spark, rows), 4, 85).collect()}
-    assert got == brute_components(rows, 4, 85)
+def test_all_links_come_from_regions(spark, monkeypatch):
+    def no_links(batches):
+        for batch in batches:
+            yield from ()
 
+    rows = near_copies(3, 3, 20, 60, 4)
+    assert len({r[1] for r in joined_rows(spark, rows, 4, 85).values()}) < len(rows)
+    monkeypatch.setattr(jaccard, "region_links", lambda t: no_links)
+    different = {t: k for k, t in rows}
+    assert all(r[1] == k for k, r in joined_rows(spark, [(k, t) for t, k in different.items()], 4, 85).items())
 
-def test_region_recursion_is_exact():
+
+@pytest.mark.parametrize("region, crowd, often", [(25, 1 << 20, 32), (60, 10, 5), (12, 4, 1 << 20)])
+def test_divided_regions_lose_nothing(spark, monkeypatch, region, crowd, often):
+    """Regions divided by distributed pivots, down to dense blocks; crowded shingles' pivots by aggregation."""
+    for name, value in (("REGION", region), ("SMALL", 4), ("CROWD", crowd), ("OFTEN", often), ("SPLIT", 6)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_copies(5, 4, 45, 70, 9)
+    assert joined_rows(spark, rows, 4, 85) == brute_join(rows, 4, 85)
+
+
+def test_parts_of_a_region_are_exact(monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 8)
     rows = near_copies(9, 12, 20, 80, 4)
     sets = jaccard.shingle_sets([t.encode() for _, t in rows], 4)
-    region = jaccard.Region(sets, 85)
-    region.join()
-    want = brute_components(rows, 4, 85)
-    groups = {}
+    region = jaccard.Region(sets, 85).join()
+    want = brute_join(rows, 4, 85)
+    assert region.degree.tolist() == [want[k][2] for k in range(len(rows))]
+    groups, truth = {}, {}
     for k in range(len(rows)):
         groups.setdefault(region.find(k), set()).add(k)
-    truth = {}
-    for k, (_, c) in want.items():
-        truth.setdefault(c, set()).add(k)
+        truth.setdefault(want[k][1], set()).add(k)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, truth.values()))
 
 
+def test_documents_of_several_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, b + " more"), (9, "c c c c d"), (9, a), (8, "c c c c d"), (7, "lone"), (7, "alone"), (1, a)]
+    got = sorted((r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_join(odd_docs(spark, rows), 4, 85).collect())
+    # text a: 1, 9 and, one word longer, 2; text b: 1 and, one word longer, 3 and 4; the short text: 8 and 9
+    assert got == [(1, 1, 2), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 1, 2), (7, 7, 0), (7, 7, 0), (8, 1, 1), (9, 1, 1), (9, 1, 2)]
+
+
 def test_join_of_odd_rows(spark):
     docs = odd_docs(spark)
     got = collect(jaccard.jaccard_join(docs), "doc_id", "n_shingles", "component_id")
@@ -393,6 +424,8 @@ def test_join_of_odd_rows(spark):
     kept = jaccard.first_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 2, 3, 4, 6, 7, 8]
+    twice = odd_docs(spark, [(1, "b text"), (1, "a text"), (2, None), (2, "x"), (None, "x"), (None, "x")])
+    assert sorted(collect(jaccard.first_of_each(twice), "doc_id", "text"), key=str) == [(1, "a text"), (2, None), (None, "x"), (None, "x")]
 
 
 def test_bitmap_filters(spark):
