@@ -12,7 +12,9 @@ are not drawn at large but elected where documents meet, and everything after th
    the window d(x, p) <= d(x, home) + 2 r copies boundary members to the regions before their home. Regions are divided
    again until they are small; one that no longer shrinks (all members lie within 2 r of each other) is compared in
    blocks. A region of one task is divided in the same way in memory, and pivot distances prune its last pairs.
-3. Links. A pair is counted once: in the lowest common pivot's region, where at least one of the two is at home on every
+3. Screen. Before any set is moved, the members of a small region are compared by counters of their hashes, whose difference
+   is never more than that of the sets; who has no partner left, by size or by counters, leaves the region.
+4. Links. A pair is counted once: in the lowest common pivot's region, where at least one of the two is at home on every
    level. A region returns each member's number of links and a spanning forest, never the pairs.
 
 Exact copies are one class from the start. What reaches the driver is counts and the list of frequent
@@ -26,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_map, durable, flagged, only, texts, without
@@ -105,7 +108,17 @@ def at_most(counts: DataFrame, least: int, rows: int) -> DataFrame:
     return counts.filter(F.col("c") > least)
 
 
-FEATURES = "doc_id long, n long, sign binary, prefix array<long>"
+def width(n: int) -> int:
+    """Counters of a set of n: 64, or the power of two from half to all of n."""
+    return max(64, 1 << (n // 2 - 1).bit_length()) if n > 2 else 64
+
+
+def counters(s: np.ndarray) -> bytes:
+    wide = width(len(s))
+    return np.minimum(np.bincount((s >> np.uint64(5)).astype(np.int64) & (wide - 1), minlength=wide), 255).astype(np.uint8).tobytes()
+
+
+FEATURES = "doc_id long, n long, sign binary, prefix array<long>, counters binary"
 
 
 def features(docs: DataFrame, n: int, t: int, frequent: np.ndarray) -> DataFrame:
@@ -120,8 +133,8 @@ def features(docs: DataFrame, n: int, t: int, frequent: np.ndarray) -> DataFrame
                 prefixes.append(s[: prefix_size(len(s), t)].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sign_of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))],
-                ["doc_id", "n", "sign", "prefix"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sign_of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))), pa.array(list(map(counters, sets)), pa.binary())],
+                ["doc_id", "n", "sign", "prefix", "counters"],
             )
 
         return step
@@ -173,6 +186,38 @@ def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
+def screened(t: int) -> Callable:
+    """Rows (region, x, n, counters) sorted by region and n -> (region, x) of those that sizes and counters leave a partner."""
+    schema = pa.schema([("region", pa.int64()), ("x", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "region"):
+            key, n = rows["region"], rows["n"]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            stays = np.zeros(len(key), bool)
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
+                counts = [np.frombuffer(c, np.uint8).astype(np.int32) for c in rows["counters"][lo:hi]]
+                own = n[lo:hi]
+                last = np.searchsorted(own, own * 100 // t, "right").tolist()  # behind the largest partner
+                for i in range(hi - lo - 1):
+                    wide, j = len(counts[i]), i + 1
+                    if last[i] <= j:
+                        continue
+                    if any(len(counts[k]) != wide for k in range(j, last[i])):  # sizes ascend, and so do widths, by factors of two
+                        others = np.stack([c.reshape(-1, wide).sum(0) for c in counts[j : last[i]]])
+                    else:
+                        others = np.stack(counts[j : last[i]])
+                    both = own[i] + own[j : last[i]]
+                    hit = np.abs(others - counts[i]).sum(1) <= both - 2 * -(-t * both // (100 + t))
+                    if hit.any():
+                        stays[lo + i] = True
+                        stays[lo + j + np.flatnonzero(hit)] = True
+            if stays.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[stays]), pa.array(rows["x"][stays])], schema=schema)
+
+    return run
+
+
 def linked(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, t: int) -> np.ndarray:
     return 100 * common >= t * (a + b - common)
 
@@ -475,19 +520,29 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     # what is no first, or is several rows of one doc_id, is looked up, the rest passes
     others = durable(named.join(classes, "sign").filter("doc_id <> rep or copies > 1 or rows > 1 or id <> rep").select("doc_id").distinct())
     some = rows.filter("n > 0 and doc_id is not null")
-    plain = without(some, others).select(F.col("doc_id").alias("id"), "n", "prefix", F.lit(1).cast("long").alias("copies"))
+    plain = without(some, others).select(F.col("doc_id").alias("id"), "n", "prefix", "counters", F.lit(1).cast("long").alias("copies"))
     several = only(some, others).join(classes.select("sign", F.col("rep").alias("doc_id"), "id", "copies"), ["sign", "doc_id"])
-    several = several.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("copies").alias("copies"))
+    several = several.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counters").alias("counters"), F.first("copies").alias("copies"))
     firsts = durable(plain.unionByName(several))
 
-    members = memberships(firsts, crowds)
-    members = durable(members.join(firsts.select(F.col("id").alias("x"), "n", F.col("copies").alias("weight")), "x"))
+    members = memberships(firsts, crowds).join(firsts.select(F.col("id").alias("x"), "n", F.col("copies").alias("weight")), "x")
+    by_size = W.partitionBy("c").orderBy("n")
+    near = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
+    members = durable(members.withColumn("near", near).filter("near").drop("near"))
     sizes = durable(sizes_of(members, "c").select("c", outgrown().alias("big")))
-    members = members.join(sizes.select("c", "big"), "c")
-    members = members.select(F.col("c").alias("region"), "x", "n", "below", "weight", F.lit(0).cast("long").alias("home"), F.lit(0).cast("long").alias("whole"), F.lit(0).alias("side"), "big")
+    members = members.join(sizes, "c")
+    zero = F.lit(0).cast("long")
+    members = members.select(F.col("c").alias("region"), "x", "n", "below", "weight", zero.alias("home"), zero.alias("whole"), F.lit(0).alias("side"), "big")
+    crowded = members.filter("big").select(*MEMBER)
+    members = members.filter("not big").select(*MEMBER)
+    profiles = firsts.select(F.col("id").alias("x"), "counters")
+    stay = members.select("region", "x", "n").join(profiles, "x").select("region", "x", "n", "counters").repartition(parts, "region").sortWithinPartitions("region", "n", "x")
+    members = members.join(durable(stay.mapInArrow(screened(percent), "region long, x long")), ["region", "x"]).select(*MEMBER)
 
     some_many = many.limit(1).count() > 0
-    wanted = members.select(F.col("x").alias("doc_id")).union(many.select("doc_id")) if some_many else members.select(F.col("x").alias("doc_id"))
+    members, crowded = durable(members), durable(crowded)
+    wanted = members.select(F.col("x").alias("doc_id")).union(crowded.select("x"))
+    wanted = wanted.union(many.select("doc_id")) if some_many else wanted
     kept = durable(sets_of(flagged(docs, wanted, "doc_id").filter("maybe"), n))
     if some_many:
         told = flagged(kept, many.select("doc_id"), "doc_id")
@@ -496,10 +551,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     else:
         kept = kept.select(F.col("doc_id").alias("x"), "kept")
 
-    ready = members.filter("not big").select(*MEMBER)
-    if sizes.filter("big").limit(1).count():
-        ready = ready.union(divided(members.filter("big").select(*MEMBER), kept, percent).select(*MEMBER))
-    dealt = ready.join(kept, "x").select(*MEMBER, "kept").repartition(parts, "region").sortWithinPartitions("region", "x")
+    if crowded.limit(1).count():
+        members = members.union(divided(crowded, kept, percent))
+    dealt = members.join(kept, "x").select(*MEMBER, "kept").repartition(parts, "region").sortWithinPartitions("region", "x")
     found = durable(dealt.mapInArrow(region_links(percent), LINKS))
 
     degree = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))

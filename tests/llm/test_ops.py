@@ -407,6 +407,17 @@ def test_parts_of_a_region_are_exact(monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, truth.values()))
 
 
+def test_counters_never_rule_a_link_out():
+    rng = np.random.default_rng(1)
+    for size in (1, 3, 40, 130, 700, 3000):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for share in (0.8, 0.9, 1.0):
+            b = np.concatenate([a[: int(size * share)], rng.integers(0, 1 << 63, size // 9, dtype=np.uint64)])
+            small, large = sorted((a, b), key=len)
+            x, y = (np.frombuffer(jaccard.counters(v), np.uint8).astype(int) for v in (small, large))
+            assert np.abs(x - y.reshape(-1, len(x)).sum(0)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_documents_of_several_texts(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, b + " more"), (9, "c c c c d"), (9, a), (8, "c c c c d"), (7, "lone"), (7, "alone"), (1, a)]
