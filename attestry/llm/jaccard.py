@@ -3,10 +3,11 @@
 The Jaccard distance is a metric, and unrelated documents lie at distance 1 from each other. So pivots
 are not drawn at large but elected where documents meet, and everything after that is a metric join.
 
-1. Election. Shingles have one global order, frequent ones last. Two documents over the threshold share one
-   of the first n - ceil(t n) + 1 shingles of each. Among the documents that share such a shingle the one of lowest
+1. Election. Shingles have one global order, frequent ones last. Two documents over the threshold share l
+   of the first n - ceil(t n) + l shingles of each. Among the documents that share such a shingle the one of lowest
    priority (a hash) is its pivot, and the others join the pivot's region. Near copies share most of these shingles and
-   so elect few pivots. Two linked documents have a pivot in common, and meet in its region.
+   so elect few pivots. Who shares fewer than l with all others links with nobody; everybody else may leave the pivots of
+   (l - 1) / 2 shingles, the rarest elected first. Two linked documents still have a pivot in common, and meet in its region.
 2. Regions. A region of more than REGION documents (or CAPACITY shingles) is divided by distributed joins: some
    members are its pivots, exact distances to all of them put each member into the Voronoi region of the nearest, and
    the window d(x, p) <= d(x, home) + 2 r copies boundary members to the regions before their home. Regions are divided
@@ -38,6 +39,8 @@ from .words import mix, words
 OFTEN, FREQUENT = 32, 1 << 20
 #: Documents from which a shingle's pivot is elected by partial aggregation; such shingles, at most (as above).
 CROWD, CROWDS = 2048, 1 << 16
+#: Two linked sets share one more shingle of their prefixes for every so many that the smaller has.
+SHARED = 24
 #: Documents, and shingles, of a region that one task joins; documents whose pairs are compared without pivots.
 REGION, CAPACITY, SMALL = 2048, 1 << 22, 32
 #: Pivots of a region, on the cluster and in a task.
@@ -78,6 +81,15 @@ def prefix_size(n: int, t: int) -> int:
     return n - -(-t * n // 100) + 1 if n else 0
 
 
+def shared_size(n: int) -> int:
+    """l: shingles that the prefixes of two linked sets share, by the size of the smaller."""
+    return 1 + n // SHARED
+
+
+def long_prefix(n: int, t: int) -> int:
+    return prefix_size(n, t) + shared_size(n) - 1
+
+
 def short(hashes: np.ndarray) -> np.ndarray:
     """The low half of each hash: enough for an order, which only has to be the same for all."""
     return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -89,11 +101,11 @@ def sign_of(s: np.ndarray) -> bytes:
 
 
 def shingle_counts(docs: DataFrame, n: int, t: int) -> DataFrame:
-    """(h, c): short hashes and how many documents have them among the lowest twice as many as their prefix holds, over OFTEN."""
+    """(h, c): short hashes and how many documents have them among the lowest, a quarter more than the prefix holds, over OFTEN."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            low = [s[: 2 * prefix_size(len(s), t)] for s in sets_of_batch(batch, n)]
+            low = [s[: 5 * long_prefix(len(s), t) // 4] for s in sets_of_batch(batch, n)]
             return pa.RecordBatch.from_arrays([pa.array(short(np.concatenate(low)).view(np.int32))], ["h"])
 
         return step
@@ -130,7 +142,7 @@ def features(docs: DataFrame, n: int, t: int, frequent: np.ndarray) -> DataFrame
                 if len(frequent):
                     late = frequent[np.minimum(np.searchsorted(frequent, short(s)), len(frequent) - 1)] == short(s)
                     s = np.concatenate([s[~late], s[late]])
-                prefixes.append(s[: prefix_size(len(s), t)].view(np.int64))
+                prefixes.append(s[: long_prefix(len(s), t)].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sign_of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))), pa.array(list(map(counters, sets)), pa.binary())],
@@ -143,7 +155,7 @@ def features(docs: DataFrame, n: int, t: int, frequent: np.ndarray) -> DataFrame
 
 
 def elected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, x) sorted by h and priority -> (x, c): each h's first x is the pivot of all its x, itself included; an x alone elects none."""
+    """Rows (h, x) sorted by h and priority -> (x, c, k): each h's first x is the pivot of all its x, itself included, and k counts such h; an x alone elects none."""
     h_before, pivot, told = None, 0, True
     for batch in batches:
         if not batch.num_rows:
@@ -154,11 +166,11 @@ def elected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = np.cumsum(first)
         c[run == 0] = pivot  # the run goes on from the batch before
         rest = ~first
-        own = np.unique(c[rest])
-        rows = np.unique(np.stack([np.concatenate([x[rest], own]), np.concatenate([c[rest], own])], 1), axis=0)
+        own = c[rest][np.unique(run[rest], return_index=True)[1]]
+        rows, k = np.unique(np.stack([np.concatenate([x[rest], own]), np.concatenate([c[rest], own])], 1), axis=0, return_counts=True)
         h_before, pivot = h[-1], c[-1]
         if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["x", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(k)], ["x", "c", "k"])
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
@@ -426,8 +438,8 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(links.select("b", "b").distinct())
 
 
-def memberships(firsts: DataFrame, crowds: DataFrame) -> DataFrame:
-    """(x, c, below): the pivots that a document's prefix elects, and for each those before it."""
+def memberships(firsts: DataFrame, crowds: DataFrame, t: int) -> DataFrame:
+    """(x, n, weight, c, below): the pivots that a document's prefix elects and that it stays with, and for each those before it."""
     parts = int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = firsts.select(F.col("id").alias("x"), F.explode("prefix").alias("h"))
     priority = F.struct(F.xxhash64("x").alias("p"), F.col("x"))
@@ -440,11 +452,18 @@ def memberships(firsts: DataFrame, crowds: DataFrame) -> DataFrame:
         if pivots.count() > 4 * CROWDS:
             pivots = None
     rest = cells if pivots is None else cells.join(F.broadcast(pivots), "h", "left_anti")
-    pairs = rest.select("h", "x").repartition(parts, "h").withColumn("p", F.xxhash64("x")).sortWithinPartitions("h", "p", "x").select("h", "x").mapInArrow(elected, "x long, c long")
+    pairs = rest.select("h", "x").repartition(parts, "h").withColumn("p", F.xxhash64("x")).sortWithinPartitions("h", "p", "x").select("h", "x").mapInArrow(elected, "x long, c long, k long")
     if pivots is not None:
-        pairs = pairs.union(cells.join(F.broadcast(pivots), "h").select("x", "c"))
-    own = pairs.groupBy("x").agg(F.collect_set("c").alias("cs"))  # at most one for each shingle of the prefix
-    return own.select("x", F.explode("cs").alias("c"), "cs").select("x", "c", F.filter("cs", lambda p: p < F.col("c")).alias("below"))
+        pairs = pairs.union(cells.join(F.broadcast(pivots), "h").select("x", "c", F.lit(1).cast("long")))
+    pairs = pairs.groupBy("x", "c").agg(F.sum("k").alias("k"))
+    own = pairs.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("cs"), F.sum("k").alias("k"))  # one for each shingle of the prefix at most
+    own = own.join(firsts.select(F.col("id").alias("x"), "n", F.col("copies").alias("weight")), "x")
+    least = 1 + F.floor(F.ceil(F.col("n") * t / 100) / SHARED)  # shared_size of the smallest partner
+    own = own.withColumn("least", least).filter("k >= least")
+    none = F.struct(F.lit(0).cast("long").alias("k"), F.array().cast("array<long>").alias("cs"))
+    leave = lambda so, v: F.struct((so["k"] + v["k"]).alias("k"), F.when(2 * (so["k"] + v["k"]) < F.col("least"), so["cs"]).otherwise(F.concat(so["cs"], F.array(v["c"]))).alias("cs"))
+    own = own.select("x", "n", "weight", F.aggregate("cs", none, leave)["cs"].alias("cs"))
+    return own.select("x", "n", "weight", F.explode("cs").alias("c"), "cs").select("x", "n", "weight", "c", F.filter("cs", lambda p: p < F.col("c")).alias("below"))
 
 
 MEMBER = ["region", "x", "n", "below", "weight", "home", "whole", "side"]
@@ -525,7 +544,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     several = several.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counters").alias("counters"), F.first("copies").alias("copies"))
     firsts = durable(plain.unionByName(several))
 
-    members = memberships(firsts, crowds).join(firsts.select(F.col("id").alias("x"), "n", F.col("copies").alias("weight")), "x")
+    members = memberships(firsts, crowds, percent)
     by_size = W.partitionBy("c").orderBy("n")
     near = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
     members = durable(members.withColumn("near", near).filter("near").drop("near"))
