@@ -522,14 +522,46 @@ def test_chats_read_back(spark):
 # --- licenses -------------------------------------------------------------------------------------------
 
 
+def brute_licenses(text, templates, threshold=licenses.THRESHOLD):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    met = {}
+    for label, (notice, must) in templates.items():
+        own, length = set(notice.split()), len(notice.split())
+        for s in range(len(w)):
+            block = own & set(w[s : s + length])
+            if len(block) >= threshold * len(own) - 1e-9 and set(must.split()) <= block:
+                met[label] = max(met.get(label, 0), len(block) / len(own))
+    return met
+
+
+def test_license_blocks_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for k, (label, (notice, _)) in enumerate(list(licenses.TEMPLATES.items()) * 12):
+        w = notice.split()
+        for _ in range(rng.randrange(len(w) // 3)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = rng.sample(["the", "software", "filler", "of", "license"], rng.randrange(2))
+        filler = [rng.choice(["the", "and", "text", "granted", "of"]) for _ in range(rng.randrange(40))]
+        rows.append((k, " ".join([*filler, *w, *filler])))
+    templates = licenses.TEMPLATES | {"long": (" ".join(f"clause{i} of" for i in range(300)), "clause7")}  # far beyond any fixed block
+    rows += [(900, " ".join(f"clause{i} of" for i in range(260))), (901, " ".join(f"clause{i} of" for i in range(200))), (902, "clause7 " * 5)]
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(odd_docs(spark, rows), templates).collect()}
+    for k, text in rows:
+        met = brute_licenses(text, templates)
+        assert got[k] == (",".join(sorted(met)), round(max(met.values(), default=0.0), 9)), k
+    assert got[900][0] == "long" and got[901][0] == "" and len({v for v, _ in got.values()}) > 6
+
+
 def test_license_labels(spark):
+    mit, gpl = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["gpl-3"][0]
     rows = [
-        (1, "Released UNDER the MIT License. under the mit license"), (2, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"),
-        (3, "nothing here"), (4, None), (5, ""), (6, "Apache License, Version 2.0 and cc-by-nc"), (7, "word " * 5000 + "This work is licensed under the GNU General Public License, version 3."), (3, "nothing here"),
+        (1, "Released UNDER the MIT License. under the mit license"), (2, mit.upper().replace("SOFTWARE", "Software,")),
+        (3, "nothing here"), (4, None), (5, ""), (6, "Apache License, Version 2.0 and cc-by-nc"), (7, "word " * 5000 + gpl), (3, "nothing here"), (8, "Licensed under CC BY 4.0"),
     ]
     got = collect(licenses.scan_licenses(odd_docs(spark, rows)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
     by = {r[0]: r[1:] for r in got}
     assert len(got) == len(rows)
-    assert by[1] == (9, 2, 1, 5, "mit", "mit") and by[2][1:] == (0, None, None, "", "mit") and by[3] == (2, 0, None, None, "", "")
+    assert by[1] == (9, 2, 1, 5, "mit", "mit") and by[2][1:] == (0, None, None, "", "mit") and by[3] == (2, 0, None, None, "", "") and by[8][4:] == ("", "")
     assert by[4] == by[5] == (0, 0, None, None, "", "") and by[6][1:5] == (2, 0, 6, "apache-2,cc-by-nc") and by[7][4:] == ("", "gpl-3")
     assert licenses.scan_licenses(odd_docs(spark).limit(0)).count() == 0
