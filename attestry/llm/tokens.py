@@ -1,76 +1,73 @@
 """Token counts by overlap resynchronisation.
 
-A huge document is encoded in chunks that overlap. Two neighbouring chunks are spliced at a place
-that lies in both and that both encode as a token boundary: a space after a surely non-space
-character, which no token of the supported pre-tokenizers crosses whatever stands around it. The
-ids between the first and the last such place must agree as well. Where the overlap holds no common
-boundary, it is doubled, at worst until the two chunks have become one.
+A huge document is encoded, with offsets, in chunks that overlap. Two neighbouring chunks are spliced at a place that
+lies in both and where both begin a token behind a proven edge: a letter or digit before a character of another kind,
+or any character before white space, which no pre-token of the byte-level pattern crosses whatever stands around it.
+The ids between the first and the last such place must be the same. Where the overlap holds no common edge, it is
+doubled, down to the last settled place; where that is not enough, the two chunks become one and the next is longer
+than both, so that text without any edge costs its length a constant number of times.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from . import bpe
 from .common import arrow_map, texts
 from .words import BLOCK
 
-#: Bytes of a chunk and of the overlap that is tried first.
-CHUNK, OVERLAP = 1 << 15, 1 << 9
+#: Bytes from which a document is cut; characters of a chunk and of the overlap that is tried first.
+HUGE, CHUNK, OVERLAP = 1 << 15, 1 << 14, 1 << 8
+#: Places behind which a pre-token surely ends: the kinds are letters, digits, white space and the rest.
+EDGE = regex.compile(r"(?<=\p{L})[^\p{L}]|(?<=\p{N})[^\p{N}]|(?<=[^\s])\s")
 
 
-def cuts(data: bytes, chunk: int) -> list[int]:
-    """Ends of chunks, none of them inside a code point."""
-    ends = []
-    at = chunk
-    while at < len(data):
-        while at < len(data) and data[at] & 0xC0 == 0x80:
-            at += 1
-        ends.append(at)
-        at += chunk
-    return [e for e in ends if e < len(data)] + [len(data)]
+class Chunk:
+    """Characters begin to end of a text: ids, and the proven edges at which a token begins (characters of the text, tokens before each)."""
 
+    def __init__(self, library, text: str, begin: int, end: int):
+        encoded = library.encode(text[begin:end], add_special_tokens=False)
+        self.ids, self.begin, self.end = np.array(encoded.ids, np.int64), begin, end
+        spans = np.array(encoded.offsets, np.int64).reshape(-1, 2)
+        edges = np.fromiter((m.start() for m in EDGE.finditer(text, begin, end, overlapped=True)), np.int64) - begin
+        at = np.searchsorted(spans[:, 0], edges)
+        clean = (at > 0) & (at < len(spans))
+        edges, at = edges[clean], at[clean]
+        clean = (spans[at, 0] == edges) & (spans[at - 1, 1] == edges)
+        self.edges, self.before = edges[clean] + begin, at[clean]
 
-def boundaries(encoded: bpe.Encoded, k: int, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where units of text k begin, counted from byte ``at`` of the document, and the tokens before each."""
-    lo, hi = np.searchsorted(encoded.units.doc, [k, k + 1])
-    before = np.cumsum(encoded.count[lo:hi]) - encoded.count[lo:hi]
-    return encoded.units.start[lo:hi] - encoded.units.base[k] + at, before
 
-
-def splice(encoder: bpe.Bpe, data: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of one huge text, from chunks of bounded size."""
-    total, start, settled = 0, 0, 0  # tokens before byte ``settled``; the open chunk begins at ``start``
-    ends = cuts(data, chunk)
-    left = encoder.encode([data[: ends[0]]])
-    for here, end in zip(ends, ends[1:]):
+def splice(library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Tokens of one huge text."""
+    total, settled, skipped = 0, 0, 0  # tokens before the settled place; tokens of the open chunk before it
+    least, left = chunk, Chunk(library, text, 0, chunk)
+    while left.end < len(text):
         wide = overlap
-        while True:
-            begin = max(settled, here - wide)
-            while begin > settled and data[begin] & 0xC0 == 0x80:
-                begin -= 1
-            right = encoder.encode([data[begin:end]])
-            (a, tokens_a), (b, tokens_b) = boundaries(left, 0, start), boundaries(right, 0, begin)
-            # a unit's own first byte is a proven boundary only where the chunk shows what stands before it
-            common = np.intersect1d(a[a > max(begin, start) + 4], b[(b < here) & (b > begin + 4)])
+        end = left.end + chunk
+        edges = left.edges[left.edges > settled]
+        while len(edges):
+            begin = max(settled, min(left.end - wide, int(edges[-1]) - overlap))
+            right = Chunk(library, text, begin, end)
+            common, i, j = np.intersect1d(left.edges, right.edges, return_indices=True)
             if len(common):
-                i, j = np.searchsorted(a, common), np.searchsorted(b, common)
-                if (np.diff(tokens_a[i]) == np.diff(tokens_b[j])).all():
-                    total += int(tokens_a[i[-1]] - (tokens_a[np.searchsorted(a, settled)] if settled > start else 0))
-                    settled = int(common[-1])
-                    left, start = right, begin
+                a, b = left.before[i], right.before[j]
+                if np.array_equal(left.ids[a[0] : a[-1]], right.ids[b[0] : b[-1]]):
+                    total += int(a[-1]) - skipped
+                    settled, skipped, left, chunk = int(common[-1]), int(b[-1]), right, least
                     break
-            if begin <= settled:  # the overlap is all there is: both become one chunk
-                left, start = encoder.encode([data[settled:end]]), settled
-                break
+            if begin == settled:
+                edges = edges[:0]  # all there is
             wide *= 2
-    a, tokens_a = boundaries(left, 0, start)
-    return total + int(left.count.sum() - (tokens_a[np.searchsorted(a, settled)] if settled > start else 0))
+        else:  # both become one, and the next one is three times as long
+            chunk = 3 * (end - settled)
+            left, skipped = Chunk(library, text, settled, end), 0
+    return total + len(left.ids) - skipped
 
 
-def counts(encoder: bpe.Bpe, parts: list[bytes], chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
+def counts(encoder: bpe.Bpe, parts: list[bytes], huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
     out = np.zeros(len(parts), np.int64)
     small, held = [], 0
 
@@ -81,8 +78,8 @@ def counts(encoder: bpe.Bpe, parts: list[bytes], chunk: int = CHUNK, overlap: in
         small, held = [], 0
 
     for k, data in enumerate(parts):
-        if len(data) > chunk:
-            out[k] = splice(encoder, data, chunk, overlap)
+        if len(data) > huge:
+            out[k] = splice(encoder.library, data.decode(), chunk, overlap)
             continue
         small.append(k)
         held += len(data) + 1
@@ -95,7 +92,8 @@ def counts(encoder: bpe.Bpe, parts: list[bytes], chunk: int = CHUNK, overlap: in
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row.
 
-    Null and empty texts have 0 bytes and tokens. Repeated rows give repeated rows. Other columns
+    Null and empty texts have 0 bytes and tokens. Texts of any length are counted whole, in time in proportion to it.
+    Repeated rows give repeated rows; an empty table gives an empty result. Other columns
     are ignored, so their names cannot clash. ``tokenizer``: path of a byte-level .json file.
     """
 
