@@ -1,11 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of character shingles.
 
 A shingle's 64-bit hash is kept when it lies below 2**64 / SCALE, a threshold fixed for all documents,
-so that sketches of very unequal documents compare and merge without a common size. Short texts
-would keep almost nothing, so the FLOOR smallest hashes are kept as well. Both rules survive
-merging: the union, cut by the same rules, is the sketch of the united texts. Below the lower of two
-sketches' bounds (the threshold, or the FLOOR-th smallest hash where that lies above it) both are
-complete, and containment is counted there.
+so that sketches of very unequal documents compare and merge without a common size. So that no text but the empty one
+is without a hash, the smallest is kept in any case. Both rules survive merging: the union, cut by the same rules,
+is the sketch of the united texts. Below the lower of two sketches' bounds (the threshold, or the smallest hash where
+that lies above it) both are complete, and containment is counted there.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import sliced, texts
 from .words import mix
 
-#: One shingle hash in SCALE is kept; FLOOR hashes at least; code points of a shingle.
-SCALE, FLOOR, WIDTH = 64, 32, 12
+#: One shingle hash in SCALE is kept, and the FLOOR smallest; code points of a shingle.
+SCALE, FLOOR, WIDTH = 16, 1, 12
 LIMIT = np.uint64((1 << 64) // SCALE)
 END = np.uint64((1 << 64) - 1)
 STEP = np.uint64(0x100000001B3)
@@ -145,10 +144,12 @@ def successor_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     first as many (or all) of the next document by descending doc_id (after the last: the first).
 
     Ties in doc_id go by text; a null doc_id comes last; a lone document follows itself; a null text
-    is empty. Two empty texts are alike (1.0), an empty one is unlike any other (0.0)."""
+    is empty. Two empty texts are alike (1.0), an empty one is unlike any other (0.0). Texts of any length are taken whole.
+    Repeated rows follow each other; an empty table gives an empty result; other columns are ignored, so their names
+    cannot clash."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_successor(texts(docs, id_col, text_col), min(4 * parts, 2000))
+    rows = with_successor(texts(docs, id_col, text_col), 4 * parts)
     dealt = rows.repartition(parts, "block").sortWithinPartitions("block", "ghost", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
