@@ -7,8 +7,8 @@ score in a language is the sum of its words' logarithms; the prediction is the l
 highest score, and its posterior under equal priors is reported.
 
 Probabilities are fitted by expectation maximisation (forward and backward sums give each piece's
-expected count) on a bounded sample of labelled rows: about ROWS of each language, drawn by a hash
-of the text. Prediction reads the text alone.
+expected count) on a bounded sample of labelled rows: about ROWS different texts of each language, drawn by a hash
+of the text, so that copies count once. Prediction reads the text alone.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, arrow_map, sliced, texts
 from .words import SPACES, mix, words
 
-#: Labelled rows of a language in the sample, about; rounds of expectation maximisation.
-ROWS, ROUNDS = 600, 3
+#: Labelled texts of a language in the sample, about; rounds of expectation maximisation; languages that a model may have.
+ROWS, ROUNDS, LANGS = 600, 3, 1000
 #: Characters of the longest piece a vocabulary may have; characters from which a word's sums are formed in logarithms.
 LONGEST, PART = 16, 34
 #: Long words, and their characters, that are looked up at once.
@@ -227,9 +227,13 @@ class Model:
 
 
 def train(docs: DataFrame, model_file: str, lang_col: str = "lang", text_col: str = "text", rows: int = ROWS) -> Model:
-    """Fit on rows with a text and a language. The vocabulary bounds what reaches the driver."""
+    """Fit on rows with a text and a language; without any, a model that predicts nothing. The vocabulary and LANGS bound
+    what reaches the driver; a column of more names is none of languages, and is refused."""
     named = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    named = named.withColumn("h", F.xxhash64("text"))
+    sizes = {r["lang"]: r["n"] for r in named.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(LANGS + 1).collect()}
+    if len(sizes) > LANGS:
+        raise ValueError(f"more than {LANGS} values in {lang_col}")
     langs = sorted(sizes)
     names = vocabulary(model_file)
     pieces = Pieces.of(names)
@@ -238,7 +242,7 @@ def train(docs: DataFrame, model_file: str, lang_col: str = "lang", text_col: st
     share = F.lit(0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 31, int(rows / sizes[lang] * (1 << 31)) + 1))).otherwise(share)
-    sample = named.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < share)
+    sample = named.filter(F.pmod("h", F.lit(1 << 31)) < share).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -250,7 +254,7 @@ def train(docs: DataFrame, model_file: str, lang_col: str = "lang", text_col: st
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys), (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
         counts: Counter = Counter()
@@ -307,7 +311,9 @@ class Predictor:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, fit) of every row: the language, its posterior, and the mean logarithm of a word's
-    probability in it. A text that is null or has no letter is 'und' with score 0 and fit 0."""
+    probability in it. A text that is null or has no letter is 'und' with score 0 and fit 0. Of languages of equal
+    posterior the first by name is predicted. Texts of any length are read whole; repeated rows give repeated rows, an
+    empty table an empty result; other columns are ignored, so their names cannot clash."""
 
     def make():
         tell = Predictor(model)
