@@ -66,8 +66,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """(conv_id, formatted, n_blocks) of every conversation.
 
     Turns are sorted by turn number, then role and text; a null number comes first. Repeated rows
-    stay. Null roles and texts are empty strings. Rows without a conv_id form one conversation.
-    Other columns are ignored, so their names cannot clash."""
+    stay. Null roles and texts are empty strings. Rows without a conv_id form one conversation. Turns of any length
+    are taken whole; an empty table gives an empty result. Other columns are ignored, so their names cannot clash."""
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),

@@ -27,10 +27,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one only where none is configured."""
+    """The folder that every executor sees. Where none is configured: a temporary one on a local master, else an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="attestry-")
         sc.setCheckpointDir(path)
     return path

@@ -145,8 +145,9 @@ def padded(data: bytes) -> bytes:
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8, padded with zero bytes to a positive multiple of 64, as a PNG.
 
-    A null text is stored as an empty one: 64 zero bytes. Rows are neither merged nor dropped; other
-    columns are ignored, so their names cannot clash."""
+    A null text is stored as an empty one: 64 zero bytes. Rows are neither merged nor dropped, so repeated rows give
+    repeated rows and an empty table an empty result; texts of any length are stored whole; other columns are ignored,
+    so their names cannot clash."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -15,6 +15,8 @@ are formed before any shuffle; only the one block in which a leaf's prefix ends
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ SALTS = 64
 
 
 def domain_of(source: Column) -> Column:
-    """The domain of a source: by the number at the end of its name."""
+    """The domain of a source where the caller names no other rule: by the number at the end of its name."""
     number = F.regexp_extract(source, r"(\d{1,9})$", 1)
     return F.when(F.coalesce(number, F.lit("")) == "", F.lit("unknown")).otherwise(F.concat(F.lit("domain"), (number.cast("long") % 4).cast("string")))
 
@@ -44,12 +46,15 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.regexp_count(text, F.lit(r"[^ \t\n\r\x0B\f]+")).cast("long"))
 
 
-def leaf_columns(docs: DataFrame) -> DataFrame:
+Domain = Callable[[Column], Column]
+
+
+def leaf_columns(docs: DataFrame, domain: Domain = domain_of) -> DataFrame:
     """doc_id with the levels of the tree and the tokens; null names are 'unknown', null texts empty."""
     source = F.coalesce(F.col("source"), F.lit("unknown"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        domain_of(F.col("source")).alias("domain"),
+        domain(F.col("source")).alias("domain"),
         F.coalesce(F.col("lang"), F.lit("unknown")).alias("lang"),
         source.alias("source"),
         token_count(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"),
@@ -140,22 +145,23 @@ def select(rows: DataFrame, cuts: DataFrame, n_leaves: int, seed: int = SEED) ->
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1))).drop("times")
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, domain: Domain = domain_of) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, epoch) of every document and epoch in the mix.
 
     An empty table gives an empty mix. Rows of the same leaf and doc_id are in or out together. Null
-    langs and sources are the name 'unknown'; a null text costs one token. Extra columns are ignored."""
-    slim = durable(leaf_columns(docs))
+    langs and sources are the name 'unknown'; a null text costs one token. Extra columns are ignored, texts of any
+    length counted whole. domain: a source's domain, as an expression."""
+    slim = durable(leaf_columns(docs, domain))
     cuts, n = plan(slim, weights, share, epochs, seed)
     return select(slim, cuts, n, seed)
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The documents themselves, with all their columns, once for each epoch that has them."""
+def mixed_documents(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, domain: Domain = domain_of) -> DataFrame:
+    """The documents themselves, with all their columns, once for each epoch that has them; odd rows as in ``mix``."""
     columns = docs.columns
-    slim = durable(leaf_columns(docs))
+    slim = durable(leaf_columns(docs, domain))
     cuts, n = plan(slim, weights, share, epochs, seed)
-    whole = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), domain_of(F.col("source")).alias("domain"), F.coalesce(F.col("lang"), F.lit("unknown")).alias("lang"), F.coalesce(F.col("source"), F.lit("unknown")).alias("source"))
+    whole = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), domain(F.col("source")).alias("domain"), F.coalesce(F.col("lang"), F.lit("unknown")).alias("lang"), F.coalesce(F.col("source"), F.lit("unknown")).alias("source"))
     return select(whole, cuts, n, seed).select("row.*")
 
 

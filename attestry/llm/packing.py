@@ -171,5 +171,9 @@ def pack(table: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFra
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every document with the sequence and the offset that hold each."""
+    """Pieces of every document with the sequence and the offset that hold each.
+
+    Odd rows: a null or empty text is the end id alone; a text longer than a sequence is cut, whatever its length;
+    repeated rows are packed each for itself, and pieces that are equal in all they show may change places; an empty table
+    gives an empty result; other columns are ignored, so their names cannot clash."""
     return pack(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), ["doc_id", "piece", "ids_crc32"], capacity)

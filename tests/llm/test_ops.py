@@ -70,6 +70,24 @@ def test_damaged_media_is_refused():
             media.read_png(good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :])
 
 
+def test_feature_is_a_low_frequency_cosine_hash():
+    rng = np.random.default_rng(5)
+    for size in (1, 64, 200, 64 * 31, 64 * 32, 64 * 100 + 7):
+        image = media.read_png(media.write_png(media.padded(rng.integers(32, 127, size, dtype=np.uint8).tobytes())))
+        h = len(image)
+        small = np.zeros((32, 32))
+        for y in range(32):
+            rows = [y * h // 32] if h < 32 else range(y * h // 32, (y + 1) * h // 32)
+            for x in range(32):
+                small[y, x] = np.mean([image[r, c] for r in rows for c in (2 * x, 2 * x + 1)])
+        low = []
+        for u in range(8):
+            for v in range(8):
+                low.append(round(sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)), 6))
+        bits = "".join("1" if c > np.median(low[1:]) else "0" for c in low)
+        assert media.cosine_hashes([image]) == [f"{int(bits, 2):016x}"]
+
+
 # --- tokens ---------------------------------------------------------------------------------------------
 
 TEXTS = ["", "  a  b\n\n c", "don't I'll  x\t\ty <|endoftext|> z", "日本語 テキスト ok", "a\xa0b c  d", "é é É ÀÉ'S", "x" * 300 + " y", "12345 1,2\n", " lead", "trail \n", "\x1c \x85q", "a\r\n b", "ſ ª² ΣΑΣ", "<|startoftext|>x", "<|endo ftext|>"]
@@ -93,9 +111,24 @@ def test_overlaps_resynchronise():
     for _ in range(60):
         text = " ".join(rng.choice(words) for _ in range(rng.randrange(200)))
         want = len(encoder.library.encode(text, add_special_tokens=False).ids)
-        assert tokens.counts(encoder, [text.encode()], chunk=64, overlap=8)[0] == want
-    solid = "ab" * 500  # no boundary at all: the overlap grows until chunks are one
-    assert tokens.counts(encoder, [solid.encode()], chunk=64, overlap=8)[0] == len(encoder.library.encode(solid).ids)
+        assert tokens.counts(encoder, [text.encode()], huge=10, chunk=64, overlap=14)[0] == want
+    for solid in ("ab" * 500, " " * 700, "的一是不了" * 90, "的一，是不了" * 90, "x<|endoftext|>y" * 40):  # few edges, or none: chunks become one
+        assert tokens.counts(encoder, [solid.encode()], huge=10, chunk=64, overlap=14)[0] == len(encoder.library.encode(solid).ids)
+
+
+def test_chunks_cost_no_more_than_the_text():
+    encoder = bpe.load(tokenizer_path("byte_bpe_50k.json"))
+    read = []
+
+    class Library:
+        def encode(self, text, **options):
+            read.append(len(text))
+            return encoder.library.encode(text, **options)
+
+    for text in ("的一是不了人我在有他" * 30_000, "的一是不了人，我在有他" * 20_000, "some words, " * 20_000):
+        read.clear()
+        assert tokens.splice(Library(), text) == len(encoder.library.encode(text).ids)
+        assert sum(read) <= 3 * len(text)
 
 
 def test_counts_of_odd_rows(spark):
@@ -167,6 +200,16 @@ def test_held_out_accuracy(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    rows = [(k, "the same words again" if k % 4 else f"other words {k}", "en", "s", 0, "", "", 0) for k in range(4000)]
+    docs = spark.createDataFrame(rows, DOC)
+    model = langid.train(docs, tokenizer_path("piece_bpe_32k.model"), rows=100)
+    assert model.langs == ["en"]
+    where = {n: k for k, n in enumerate(model.pieces.names)}
+    # one text in a thousand: the copies' words stay rare
+    assert model.p[where["▁other"], 0] > 20 * model.p[where["▁again"], 0]
+
+
 def test_language_of_odd_rows(spark):
     docs = odd_docs(spark)
     model = langid.train(docs, tokenizer_path("piece_bpe_32k.model"))
@@ -203,7 +246,9 @@ def test_successors_and_edits(spark):
 
 
 def test_fingerprints_of_odd_rows(spark):
-    assert sketch.successor_fingerprints(odd_docs(spark)).count() == len(ODD)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_chars, r.edited_sha256) for r in sketch.successor_fingerprints(odd_docs(spark)).collect())
+    rows = sorted(((-1 if i is None else i, t or "") for i, t in ODD), key=lambda r: (-r[0], r[1]))
+    assert got == sorted((i, len(t), hashlib.sha256(e.encode()).hexdigest()) for (i, t), (_, _, e, _) in zip(rows, edited(rows)))
     assert sketch.successor_fingerprints(odd_docs(spark, [(1, "x")])).count() == 1
     assert sketch.successor_fingerprints(odd_docs(spark).limit(0)).count() == 0
 
@@ -217,6 +262,7 @@ def test_sketches_merge_and_estimate():
     assert (both == joint[joint < sketch.LIMIT]).all()
     inside, _ = sketch.containment(sketch.sketch(b), sketch.sketch(whole))
     assert inside > 0.9  # a short text within a very long one
+    assert len(sketch.sketch(sketch.points_of("x"))) == 1 and not len(sketch.sketch(sketch.points_of("")))
     assert sketch.likeness(sketch.sketch(a), sketch.sketch(b)) < 0.1
 
 
@@ -255,7 +301,12 @@ def test_shortages_stay_among_siblings(spark):
 
 def test_mix_of_odd_rows(spark):
     docs = odd_docs(spark)
-    assert mixing.mix(docs).count() >= 1
+    got = mixing.mix(docs, share=0.5, epochs=1)
+    held = {(r.lang, r.source): r.tokens for r in mixing.leaf_columns(docs).groupBy("lang", "source").agg(F.sum("tokens").alias("tokens")).collect()}
+    assert {("unknown", "src1"), ("en", "unknown")} <= set(held)
+    assert 0 < sum(r.tokens for r in got.collect()) <= 0.5 * sum(held.values()) + 1
+    one = mixing.mix(docs, share=2.0, epochs=1, domain=lambda source: F.lit("all"))
+    assert {r.domain for r in one.collect()} == {"all"} and one.count() == len(ODD)
     assert mixing.mix(docs.limit(0)).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
@@ -501,13 +552,14 @@ def test_packed_documents(spark):
 
 # --- chats ----------------------------------------------------------------------------------------------
 
-TURNS = [(1, 1, "user", "hi ## </turn> \\h"), (1, 2, "assistant", "### a: b"), (1, 3, "assistant", None), (1, 4, "sys:tem", "\\s####"), (1, 5, None, "x"), (2, 2, "assistant", "b"), (2, 1, "user", "a"), (2, 1, "user", "a"), (None, 1, "user", "lost"), (3, None, "user", "no turn")]
+LONG = "very ## long \\h " * 50_000
+TURNS = [(4, 1, "assistant", LONG), (1, 1, "user", "hi ## </turn> \\h"), (1, 2, "assistant", "### a: b"), (1, 3, "assistant", None), (1, 4, "sys:tem", "\\s####"), (1, 5, None, "x"), (2, 2, "assistant", "b"), (2, 1, "user", "a"), (2, 1, "user", "a"), (None, 1, "user", "lost"), (3, None, "user", "no turn")]
 
 
 def test_chats_read_back(spark):
     turns = spark.createDataFrame([(*r, 1, "clash") for r in TURNS], "conv_id long, turn long, role string, text string, n_turns long, formatted string")
     got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(turns)).collect()}
-    assert set(got) == {1, 2, 3, None}
+    assert set(got) == {1, 2, 3, 4, None}
     for conv, r in got.items():
         rows = sorted(((t if t is not None else -1), role or "", x or "") for c, t, role, x in TURNS if c == conv)
         told = "".join(f"{role}\n{x}\n" for _, role, x in rows)
