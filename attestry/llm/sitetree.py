@@ -4,20 +4,24 @@ The pages of a host are merged into one tree whose nodes are element paths (tag,
 elements of one path on a page, such as the paragraphs of an article, are one node with all their text. Over
 the distinct pages that have a node, its importance mixes two entropies, each between 0 and 1:
 presentation (how varied the sequences of child elements are) and content (how varied its text is).
-A branch that looks and reads the same everywhere is template, and goes; so does a text block outside
-article and main elements that a good part of the host's pages repeat, where near copies of a page
-(pages of mostly the same repeated blocks) count as one. Elements that HTML or their names declare to be navigation,
-adverts, forms, comments and the like have no importance whatever their text. Copies of a page count
-once. What is left inside the article (or main) element, else all that is left, is the main text.
-
-The tree is aggregated from slim rows; each host's low-importance nodes (few: each stands on a fixed
-share of the pages) then go back to its pages, which are read a second time.
+A branch that looks and reads the same everywhere is template, and goes; so does a text block that a good part of the
+host's pages repeat. Copies of a page count once, and so do near copies (pages of mostly the same repeated blocks), so
+that two pages of their own are the least that tells template from text. Inside article and main elements the tree
+removes nothing, for there a repeated title or passage is text.
+
+What varies from page to page and is still no text, such as readers' comments or rotating adverts, no entropy can tell:
+elements that HTML or their names declare to be navigation, adverts, forms, comments and the like have no importance
+whatever their text. What is left inside the article (or main) element, else all that is left, is the main text.
+
+The tree is aggregated from slim rows of hashes; each host's low-importance nodes then go back to its pages, which are
+read a second time. Elements name their path by a hash of the parent's and their own label, and their text by hashes of
+their parts, so that a page costs its length however deep it nests.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,14 +34,14 @@ from .common import arrow_map, durable
 
 #: Weight of content against presentation; importance below which a branch goes.
 GAMMA, LOW = 0.9, 0.25
-#: Distinct pages with a node (and their share of the host's) from which its entropy is used.
-PAGES, SHARE = 8, 0.1
+#: Pages, near copies as one, that tell template from text.
+PAGES = 2
 #: Share of a host's distinct pages that must repeat a block for it to go.
 REPEATED = 0.3
 #: Share of a page's text in blocks of m pages or more from which the page counts as one of m near copies.
-NEAR = 0.5
-#: Hosts up to which the table of low nodes is broadcast; beyond it, it joins by a salted key.
-HOSTS = 20_000
+NEAR = 0.8
+#: Hashes (8 bytes each) and hosts up to which the table of low nodes is broadcast; beyond it, it joins by a salted key.
+HASHES, HOSTS = 1 << 21, 20_000
 SALTS = 64
 
 # Elements by what HTML says of them.
@@ -59,14 +63,19 @@ HEADERS = set("header topbar".split())
 SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+def hash_of(*parts: str | int) -> int:
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts))) >> 1
+
+
 class Element:
-    tag: str
-    path: str
-    noise: bool
-    main: bool
-    children: list[str] = field(default_factory=list)
-    text: list[str] = field(default_factory=list)
+    """An open element. ``block``: the innermost one that is not inline, itself included; ``low``: removed by the tree."""
+
+    __slots__ = ("tag", "path", "noise", "main", "low", "block", "last", "style", "parts")
+
+    def __init__(self, tag: str, path: int, noise: bool, main: bool, low: bool, block: Element | None):
+        self.tag, self.path, self.noise, self.main, self.low = tag, path, noise, main, low
+        self.block = block or self
+        self.last, self.style, self.parts = "", xxhash.xxh64(), xxhash.xxh64()
 
 
 def is_noise(tag: str, attrs: dict[str, str | None], main: bool) -> bool:
@@ -83,35 +92,38 @@ def is_noise(tag: str, attrs: dict[str, str | None], main: bool) -> bool:
 
 
 class Reader(HTMLParser):
-    """Blocks (path, noise, main, text) in page order, and the elements as style tree nodes."""
+    """Blocks (noise, low, main, text) in page order and, if asked for, the elements outside noise and main as style tree nodes (path, style, content)."""
 
-    def __init__(self, nodes: bool):
+    def __init__(self, nodes: bool = False, low_paths: frozenset[int] | set[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.with_nodes = nodes
-        self.blocks: list[tuple[str, bool, bool, str]] = []
-        self.nodes: list[tuple[str, int, int]] = []
-        self.stack = [Element("", "", False, False)]
+        self.with_nodes, self.low_paths = nodes, low_paths
+        self.blocks: list[tuple[bool, bool, bool, str]] = []
+        self.nodes: list[tuple[int, int, int]] = []
+        self.stack = [Element("", 0, False, False, False, None)]
+        self.open: Counter[str] = Counter()
         self.held: list[str] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         self.held.clear()
         if text:
-            top = next(e for e in reversed(self.stack) if e.tag not in INLINE)
-            self.blocks.append((top.path, top.noise, top.main, text))
+            top = self.stack[-1].block
+            self.blocks.append((top.noise, top.low, top.main, text))
             if self.with_nodes:
-                top.text.append(text)
+                top.parts.update(text + "\n")
 
     def pop(self) -> None:
         e = self.stack.pop()
-        if e.tag not in INLINE:
-            if self.with_nodes and not e.noise:
-                content = "\n".join(e.text)
-                self.nodes.append((e.path, xxhash.xxh64_intdigest("|".join(e.children)) >> 1, xxhash.xxh64_intdigest(content) >> 1))
-                self.stack[-1].text.append(content)
+        self.open[e.tag] -= 1
+        if self.with_nodes and e.block is e and not e.noise:
+            content = e.parts.intdigest()
+            if not e.main:
+                self.nodes.append((e.path, e.style.intdigest() >> 1, content >> 1))
+            self.stack[-1].block.parts.update(f"{content}\n")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline:
             self.flush()
             if tag in CLOSES_P:
                 self.close("p", {"article", "section", "div", "td", "li", "body", "main", "blockquote"})
@@ -125,11 +137,15 @@ class Reader(HTMLParser):
         up = self.stack[-1]
         main = up.main or tag in MAIN or named.get("role") == "main" or named.get("itemprop") == "articleBody"
         noise = up.noise or is_noise(tag, named, up.main)
-        label = tag + "".join(f".{c}" for c in sorted((named.get("class") or "").split())) + (f"#{named['id']}" if named.get("id") else "")
-        path = up.path if tag in INLINE else f"{up.path}>{re.sub(r'[0-9]+', '0', label)}"
-        if tag not in INLINE and self.with_nodes and (not up.children or up.children[-1] != label):
-            up.children.append(label)
-        self.stack.append(Element(tag, path, noise, main))
+        path = up.path
+        if not inline:
+            label = tag + "".join(f".{c}" for c in sorted((named.get("class") or "").split())) + (f"#{named['id']}" if named.get("id") else "")
+            path = hash_of(up.path, re.sub(r"[0-9]+", "0", label))
+            if self.with_nodes and up.block.last != label:
+                up.block.last = label
+                up.block.style.update(label + "|")
+        self.stack.append(Element(tag, path, noise, main, up.low or (path in self.low_paths and not main), up.block if inline else None))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,6 +154,8 @@ class Reader(HTMLParser):
 
     def close(self, tag: str, within: set[str]) -> None:
         """Close the innermost open ``tag``, looked for inside the nearest of ``within``."""
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
                 if tag not in INLINE:
@@ -159,7 +177,7 @@ class Reader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         top = self.stack[-1]
-        if top.noise and top.tag in INLINE and not next(e for e in reversed(self.stack) if e.tag not in INLINE).noise:
+        if top.noise and top.block is not top and not top.block.noise:
             return  # an advert within a line
         self.held.append(data)
 
@@ -171,16 +189,16 @@ class Reader(HTMLParser):
             self.pop()
 
 
-def read(html: str, nodes: bool = False) -> Reader:
-    reader = Reader(nodes)
+def read(html: str, nodes: bool = False, low_paths: frozenset[int] | set[int] = frozenset()) -> Reader:
+    reader = Reader(nodes, low_paths)
     reader.feed(html)
     reader.done()
     return reader
 
 
-def page_nodes(nodes: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+def page_nodes(nodes: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """One (path, style, content) for each path of a page: of several elements, the hash of all their values in order."""
-    found: dict[str, list[tuple[int, int]]] = {}
+    found: dict[int, list[tuple[int, int]]] = {}
     for path, style, content in nodes:
         found.setdefault(path, []).append((style, content))
     return [(path, *(v[0] if len(v) == 1 else xxhash.xxh64_intdigest(np.array(v, np.int64).tobytes()) >> 1 for v in zip(*values))) for path, values in found.items()]
@@ -190,12 +208,10 @@ def block_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-def main_text(html: str, low_paths: set[str], low_blocks: set[int]) -> str:
+def main_text(html: str, low_paths: set[int], low_blocks: set[int]) -> str:
     kept = []
-    for path, noise, main, text in read(html).blocks:
-        if noise or (not main and block_hash(text) in low_blocks):
-            continue
-        if low_paths and any(path[:k] in low_paths for k in [*(m.start() for m in re.finditer(">", path)), len(path)] if k):
+    for noise, low, main, text in read(html, low_paths=low_paths).blocks:
+        if noise or (not main and (low or block_hash(text) in low_blocks)):
             continue
         kept.append((main, text))
     if any(main for main, _ in kept):
@@ -209,11 +225,11 @@ def page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 
 
 def page_weights():
-    """Rows (host, blocks, sizes, often, counts) -> (host, weight, shared): 1 / m of a page that is one of m near copies, and its repeated blocks."""
+    """Rows (host, sign, blocks, sizes, often, counts) -> (host, sign, weight, shared): 1 / m of a page that is one of m near copies, and its repeated blocks."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for host, blocks, sizes, often, counts in zip(*(batch.column(c).to_pylist() for c in ("host", "blocks", "sizes", "often", "counts"))):
+        for host, sign, blocks, sizes, often, counts in zip(*(batch.column(c).to_pylist() for c in ("host", "sign", "blocks", "sizes", "often", "counts"))):
             pages = dict(zip(often, counts))
             shared = [b for b in blocks if b in pages]
             left, copies = NEAR * sum(sizes), 1
@@ -222,15 +238,16 @@ def page_weights():
                 if left <= 0:
                     copies = m
                     break
-            out.append({"host": host, "weight": 1 / copies, "shared": shared})
-        return pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("weight", pa.float64()), ("shared", pa.list_(pa.int64()))]))
+            out.append({"host": host, "sign": sign, "weight": 1 / copies, "shared": shared})
+        return pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("sign", pa.int64()), ("weight", pa.float64()), ("shared", pa.list_(pa.int64()))]))
 
     return step
 
 
-def of_host(rows: DataFrame, table: DataFrame, key: Column, how: str) -> DataFrame:
-    """rows with the columns of a table by host: broadcast, or beyond HOSTS rows joined by a salted key."""
-    if table.count() <= HOSTS:
+def of_host(rows: DataFrame, table: DataFrame, lists: tuple[str, str], key: Column, how: str) -> DataFrame:
+    """rows with the columns of a table by host: broadcast where it is small in rows and in the hashes of its lists, else joined by a salted key."""
+    size = table.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(sum((F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(0))), F.lit(0)).alias("hashes")).first()
+    if size["hosts"] <= HOSTS and size["hashes"] <= HASHES:
         return rows.join(F.broadcast(table), "host", how)
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(key, F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], how)
@@ -244,37 +261,39 @@ def style_tree(rows: DataFrame) -> DataFrame:
             out = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 reader = read(html, nodes=True)
-                sizes = {block_hash(t): len(t) for _, noise, _, t in reader.blocks if not noise}
+                sizes = {block_hash(t): len(t) for noise, _, _, t in reader.blocks if not noise}
                 blocks = sorted(sizes)
                 seen = page_nodes(reader.nodes)
                 sign = xxhash.xxh64_intdigest(np.array(blocks, np.int64).tobytes()) >> 1
                 out.append({"host": host, "sign": sign, "nodes": [dict(zip(("path", "style", "content"), v)) for v in seen], "blocks": blocks, "sizes": [sizes[b] for b in blocks]})
-            node = pa.struct([("path", pa.string()), ("style", pa.int64()), ("content", pa.int64())])
+            node = pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64())])
             return pa.RecordBatch.from_pylist(out, pa.schema([("host", pa.string()), ("sign", pa.int64()), ("nodes", pa.list_(node)), ("blocks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]))
 
         return step
 
-    seen = arrow_map(rows.filter("host <> ''").select("host", "html"), make, "host string, sign long, nodes array<struct<path:string,style:long,content:long>>, blocks array<long>, sizes array<long>")
+    seen = arrow_map(rows.filter("host <> ''").select("host", "html"), make, "host string, sign long, nodes array<struct<path:long,style:long,content:long>>, blocks array<long>, sizes array<long>")
     seen = durable(seen.dropDuplicates(["host", "sign"]))
     hosts = seen.groupBy("host").agg(F.count("*").alias("all"))
+    often = seen.select("host", F.explode("blocks").alias("b")).groupBy("host", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= PAGES).join(hosts, "host")
+    often = often.filter(F.col("c") >= REPEATED * F.col("all")).groupBy("host").agg(F.collect_list("b").alias("often"), F.collect_list("c").alias("counts"))
+    weighed = of_host(seen.select("host", "sign", "blocks", "sizes"), durable(often), ("often", "counts"), F.col("sign"), "inner")
+    weighed = durable(arrow_map(weighed.select("host", "sign", "blocks", "sizes", "often", "counts"), page_weights, "host string, sign long, weight double, shared array<long>"))
+    slack = 1e-6
+
+    # pages without any such block are one each
+    nodes = seen.join(weighed.select("host", "sign", "weight"), ["host", "sign"], "left")
+    nodes = nodes.select("host", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.explode("nodes").alias("n")).select("host", "weight", "n.*")
 
     def entropy(of: str) -> DataFrame:
         """Of the values of a node over the pages that have it: 0 (one value) to 1 (all differ)."""
-        counted = seen.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.path", f"n.{of}").agg(F.count("*").alias("c"))
+        counted = nodes.groupBy("host", "path", of).agg(F.sum("weight").alias("c"))
         sums = counted.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-        return sums.filter(F.col("n") >= PAGES).select("host", "path", "n", (1 - F.col("clogc") / (F.col("n") * F.log("n"))).alias(of))
+        return sums.filter(F.col("n") + slack >= PAGES).select("host", "path", (1 - F.col("clogc") / (F.col("n") * F.log("n"))).alias(of))
 
-    nodes = entropy("content").join(entropy("style").drop("n"), ["host", "path"]).join(hosts, "host")
     importance = GAMMA * F.col("content") + (1 - GAMMA) * F.col("style")
-    low = nodes.filter((F.col("n") >= SHARE * F.col("all")) & (importance < LOW)).groupBy("host").agg(F.collect_list("path").alias("paths"))
-    often = seen.select("host", F.explode("blocks").alias("b")).groupBy("host", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= PAGES).join(hosts, "host")
-    often = often.filter(F.col("c") >= REPEATED * F.col("all")).groupBy("host").agg(F.collect_list("b").alias("often"), F.collect_list("c").alias("counts"))
-    weighed = of_host(seen.select("host", "blocks", "sizes"), durable(often), F.xxhash64("blocks"), "inner")
-    weighed = durable(arrow_map(weighed.select("host", "blocks", "sizes", "often", "counts"), page_weights, "host string, weight double, shared array<long>"))
-    # pages without any such block are one each
+    low = entropy("content").join(entropy("style"), ["host", "path"]).filter(importance < LOW).groupBy("host").agg(F.collect_list("path").alias("paths"))
     total = weighed.groupBy("host").agg(F.sum(1 - F.col("weight")).alias("less")).join(hosts, "host").select("host", (F.col("all") - F.col("less")).alias("total"))
     blocks = weighed.select("host", "weight", F.explode("shared").alias("b")).groupBy("host", "b").agg(F.sum("weight").alias("c")).join(total, "host")
-    slack = 1e-6
     blocks = blocks.filter((F.col("c") + slack >= PAGES) & (F.col("c") + slack >= REPEATED * F.col("total"))).groupBy("host").agg(F.collect_list("b").alias("blocks"))
     return low.join(blocks, "host", "full_outer")
 
@@ -283,10 +302,12 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """(page_id, url, text, n_chars) of every row.
 
     A null or empty html, or a page without main text, gives an empty text. Pages whose url is null or has no
-    host belong to no tree: only what HTML declares is removed. Repeated rows give repeated rows. Other columns are ignored."""
+    host belong to no tree: only what HTML declares is removed. Pages of any length, depth of nesting and malformation are
+    read whole. Repeated rows give repeated rows; an empty table gives an empty result. Other columns are ignored, so their
+    names cannot clash."""
     rows = page_rows(pages, id_col, url_col, html_col)
     low = durable(style_tree(rows))
-    rows = of_host(rows, low, F.xxhash64("page_id"), "left")
+    rows = of_host(rows, low, ("paths", "blocks"), F.xxhash64("page_id"), "left")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

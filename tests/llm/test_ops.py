@@ -355,6 +355,30 @@ def test_paragraphs_behind_a_fixed_first_one_stay(spark):
     assert all(t.endswith(f"Own text {i} a\nOwn text {i} b") for i, t in got) and len(got) == 300
 
 
+def test_undeclared_template_goes_by_the_tree(spark):
+    """Branches that no name declares; without the tree all of them stay. Titles and passages inside articles stay though repeated."""
+    rows = []
+    for i in range(12):
+        host = "a.example" if i < 9 else "b.example"
+        body = f"<div class='x1'>Welcome to {host}<ul><li>one<li>two</ul></div><article><h1>Same title</h1><p>Text {i} of {host} only</p></article><div><p>All rights reserved {host}</p></div>"
+        rows.append((i, f"https://{host}/{i}", f"<body>{body}</body>"))
+        rows.append((100 + i, f"https://plain-{host}/{i}", f"<body>{body.replace('article>', 'section>').replace('Same title', f'Title {i}')}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = dict(collect(sitetree.extract_main_text(pages), "page_id", "text"))
+    for i in range(12):
+        host = "a.example" if i < 9 else "b.example"
+        assert got[i] == f"Same title\nText {i} of {host} only"
+        assert got[100 + i] == f"Title {i}\nText {i} of {host} only"
+    assert "Welcome" in sitetree.main_text(rows[1][2], set(), set())
+
+
+def test_deep_and_malformed_pages():
+    for deep in ("<div>" * 100_000 + "text", "<div><p>x</span></b></ul>" * 20_000 + "text", "<b>" * 100_000 + "text</i>" * 1000, "<p" * 50_000, "</div>" * 100_000 + "text", "<div " + "a=1 " * 50_000 + ">text"):
+        reader = sitetree.read(deep, nodes=True)
+        assert len(reader.nodes) <= 100_000
+        assert "text" not in deep or "text" in sitetree.main_text(deep, set(), set())
+
+
 @pytest.mark.parametrize("tag", ["article", "div"])
 def test_paragraphs_of_near_copies_stay(spark, tag):
     shared = [f"Paragraph {k} of a text that others copy with one line changed" for k in range(6)]
