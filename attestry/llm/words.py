@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes hashed at once: one running sum of so many 64-bit values is held.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
