@@ -167,8 +167,8 @@ def is_zone_line(text: Column) -> Column:
 
 # --- repair, one zone at a time -------------------------------------------------------------------
 
-#: Characters that are read for one another.
-CONFUSED = ["O0Q D".replace(" ", ""), "I1L", "B8", "S5", "Z2", "G6"]
+# Pairs of characters that are read for one another.
+CONFUSED = [("0", "O"), ("0", "Q"), ("0", "D"), ("1", "I"), ("1", "L"), ("2", "Z"), ("5", "S"), ("6", "G"), ("8", "B"), ("4", "A"), ("7", "T"), ("9", "G")]
 BUDGET = 512
 
 
@@ -183,11 +183,15 @@ def failures(lines: list[str], kind: str) -> list[str]:
 
 
 def repair_zone(lines: list[str], kind: str) -> list[str] | None:
-    """The lines that one confused character, else one pair, makes valid, if exactly one reading does; None if none or several do."""
-    if not failures(lines, kind):
+    """The lines that one confused character, else one pair, makes valid, if exactly one reading does; None if none or several do,
+    or if two parts fail on their own: that is more than a misread character."""
+    failed = failures(lines, kind)
+    if not failed:
         return lines
+    if sum(name != "composite" for name in failed) > 1:
+        return None
     spots = sorted({(k, i) for parts, (ck, at) in CHECKS[kind].values() for k, lo, hi in [*parts, (ck, at, at + 1)] for i in range(lo, hi)})
-    alts = [(k, i, ch) for k, i in spots for group in CONFUSED if lines[k][i] in group for ch in group if ch != lines[k][i]]
+    alts = [(k, i, ch) for k, i in spots for pair in CONFUSED if lines[k][i] in pair for ch in pair if ch != lines[k][i]]
     put = lambda ls, k, i, ch: [x[:i] + ch + x[i + 1 :] if n == k else x for n, x in enumerate(ls)]
     digits = {(k, i) for k, lo, hi in NUMERIC[kind] for i in range(lo, hi)}
     alts = [a for a in alts if (a[0], a[1]) not in digits or a[2].isdigit()]

@@ -106,12 +106,13 @@ def sex_grammar() -> OneOf:
     return OneOf("MFX")
 
 
-def beam(lattice: list[list[tuple[str, float]]], grammar, width: int = 50, prior: Callable[[str], float] | None = None) -> list[tuple[str, float]]:
+def beam(lattice: list[list[tuple[str, float]]], grammar, width: int = 50, prior: Callable[[str, int], float] | None = None) -> list[tuple[str, float]]:
     """Accepted texts with their log-probability, best first: paths that spell the same text with the same last symbol are summed.
 
-    ``prior`` weighs characters for the ranking of the beam only; it never changes a reported probability."""
+    ``prior(ch, step)`` weighs every symbol of a path, blanks and repeats as well, for the ranking of the beam only; it
+    never changes a reported probability."""
     beams: dict[tuple[str, str], tuple[float, float, object]] = {("", ""): (0.0, 0.0, grammar.start())}
-    for step in lattice:
+    for at, step in enumerate(lattice):
         now: dict[tuple[str, str], tuple[float, float, object]] = {}
         for (text, last), (lp, rank, state) in beams.items():
             for ch, p in step:
@@ -125,7 +126,7 @@ def beam(lattice: list[list[tuple[str, float]]], grammar, width: int = 50, prior
                         continue
                     key = (text + ch, ch)
                 add = lp + math.log(p)
-                score = rank + math.log(p) + (math.log(prior(ch)) if prior and key[0] != text else 0.0)
+                score = rank + math.log(p) + (math.log(prior(ch, at)) if prior else 0.0)
                 old = now.get(key)
                 now[key] = (add, score, to) if old is None else (log_add(old[0], add), log_add(old[1], score), to)
         beams = dict(sorted(now.items(), key=lambda kv: (-kv[1][1], kv[0]))[:width])

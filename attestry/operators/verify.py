@@ -63,8 +63,10 @@ def id_pattern(patterns: dict[str, str]) -> Column:
 
 
 def validate(fields: DataFrame, rules: list[Column] | None = None) -> DataFrame:
-    """(doc_id, id, validator, status, severity, suggested): one row for each rule that applies to a field that is not rejected."""
-    rows = fields.filter("not coalesce(rejected, false)")
+    """(doc_id, id, validator, status, severity, suggested): one row for each rule that applies to a field that is not rejected.
+
+    Without ``rules`` the registry is used; an empty list is no rule at all."""
+    rows = fields.filter("not coalesce(rejected, false)" if rules is None or rules else "false")
     out = F.filter(F.array(*(rules or validators())), lambda v: v.isNotNull())
     return rows.select("doc_id", "id", F.explode(out).alias("v")).select("doc_id", "id", "v.*")
 

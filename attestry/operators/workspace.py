@@ -190,8 +190,9 @@ def csv_lines(rows: DataFrame, columns: list[Column]) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
-    """A folder of CRLF text parts, each under a header of its own."""
-    csv_lines(rows, [F.col(c) for c in columns]).write.option("lineSep", "\r\n").text(path)
+    """A folder of CRLF parts that are, one after another, one file; the first of them is the header."""
+    header = rows.sparkSession.range(1, numPartitions=1).select(F.concat_ws(",", *(csv_field(F.lit(c)) for c in columns)).alias("line"))
+    header.union(csv_lines(rows, [F.col(c) for c in columns])).write.option("lineSep", "\r\n").text(path)
 
 
 def record_columns(records: DataFrame, fields: list[str], provenance: bool = False) -> DataFrame:
@@ -213,8 +214,12 @@ def manifest(records: DataFrame, engine: str, now: str) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last version of each key in an append-only table."""
-    return rows.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(order)))).filter("_k = 1").drop("_k")
+    """The last version of each key in an append-only table; of several with the same ``order``, the one whose other columns sort last.
+
+    Aggregated before the shuffle: at most one row of a key leaves a task."""
+    rest = [c for c in rows.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(order, *(c for c in rest if c != order))).alias("_last"))
+    return last.select(*key, "_last.*").select(*rows.columns)
 
 
 def page(rows: DataFrame, order: list[str], top: int, height: int) -> DataFrame:

@@ -435,13 +435,20 @@ WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linen
 i AS (SELECT l_orderkey::VARCHAR AS doc_id, r, c, CASE c WHEN 0 THEN l_returnflag WHEN 1 THEN l_quantity::VARCHAR ELSE l_partkey::VARCHAR END AS text, lpad(r::VARCHAR, 2, '0') || '-' || c AS node_id FROM n, range(3) t(c))"""
 
 
-@query(ITEMS + " SELECT l.doc_id, l.node_id AS label_id, v.node_id AS value_id, CASE WHEN l.r = v.r THEN 'same_row_right' ELSE 'below' END AS relation FROM i l JOIN i v ON l.doc_id = v.doc_id WHERE l.c = 0 AND v.c > 0 AND l.r = v.r")
+#: Rows by whole numbers alone; a label (column 0) reaches the cells of columns 1 and 2 whose row is its own.
+PLACES = """
+WITH n AS MATERIALIZED (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem),
+v AS MATERIALIZED (SELECT k, r, 1 AS c FROM n UNION ALL SELECT k, r, 2 FROM n)
+SELECT n.k::VARCHAR AS doc_id, lpad(n.r::VARCHAR, 2, '0') || '-0' AS label_id, lpad(v.r::VARCHAR, 2, '0') || '-' || v.c AS value_id"""
+
+
+@query(PLACES + ", 'same_row_right' AS relation FROM n JOIN v ON n.k = v.k AND n.r = v.r")
 def q_label_values(spark, sf_dir):
     items = page_items(spark, sf_dir)
     return layout.label_values(items.filter("col = 0"), items.filter("col > 0")).select("doc_id", "label_id", "value_id", "relation")
 
 
-@query(ITEMS + " SELECT l.doc_id, l.node_id AS label_id, v.node_id AS value_id FROM i l JOIN i v ON l.doc_id = v.doc_id AND l.r = v.r AND v.c = 1 WHERE l.c = 0")
+@query(PLACES + " FROM n JOIN v ON n.k = v.k AND n.r = v.r WHERE v.c = 1")
 def q_nearest_values(spark, sf_dir):
     items = page_items(spark, sf_dir)
     return layout.nearest_values(layout.label_values(items.filter("col = 0"), items.filter("col > 0"))).select("doc_id", "label_id", "value_id")

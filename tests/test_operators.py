@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from attestry.functions import checksums as C
 from attestry.functions import mrz
 from attestry.functions import scalars as S
-from attestry.operators import consensus, decode, gate, layout, learning, tables, workspace
+from attestry.operators import consensus, decode, gate, layout, learning, tables, verify, workspace
 from attestry.sources import files, stores
 from attestry.streaming import routing, windows
 
@@ -74,6 +74,33 @@ def test_zone_repair_is_unique_or_nothing():
     assert mrz.repair_zone(broken, "TD3") in (zone, None)
     hopeless = [zone[0], "X" * 44]
     assert mrz.repair_zone(hopeless, "TD3") is None
+    two = [zone[0], zone[1].replace("740812", "7A0812").replace("120415", "12O415")]  # two parts fail on their own
+    assert [f for f in mrz.failures(two, "TD3") if f != "composite"] and mrz.repair_zone(two, "TD3") is None
+    one = [zone[0], zone[1].replace("740812", "7A0812")]
+    assert mrz.repair_zone(one, "TD3") == zone
+
+
+def test_csv_files_have_a_header(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "b", c'), (2, None), (3, " x\ny ")], "k int, v string").coalesce(1)
+    workspace.write_csv(rows, ["k", "v"], f"file://{tmp_path}/out")
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert "".join(p.read_bytes().decode() for p in parts) == 'k,v\r\n1,"a ""b"", c"\r\n2,\r\n3," x\ny "\r\n'
+
+
+def test_latest_is_one_row_of_each_key(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 2, "c"), (2, 1, None), (None, 5, "n")], "k int, at int, v string")
+    assert sorted(map(tuple, workspace.latest(rows, ["k"], "at").collect()), key=str) == [(1, 2, "c"), (2, 1, None), (None, 5, "n")]
+
+
+def test_no_rules_is_not_the_registry(spark):
+    fields = spark.createDataFrame([("d", "a", "x@", "email", False, True)], "doc_id string, id string, value string, value_type string, rejected boolean, required boolean")
+    assert verify.validate(fields, []).count() == 0 and verify.validate(fields).count() > 0
+
+
+def test_prior_sees_the_step():
+    asked = []
+    decode.beam([[("a", 0.6), ("", 0.4)], [("b", 1.0)]], decode.Positional(["ab", "ab"]), prior=lambda ch, at: asked.append((ch, at)) or 1.0)
+    assert {("a", 0), ("", 0), ("b", 1)} <= set(asked)
 
 
 def test_zone_formats(spark):
