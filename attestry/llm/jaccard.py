@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, flagged, only, texts, without
+from .common import arrow_map, durable, flagged, only, texts, tidy, without
 from .words import mix, words
 
 #: Documents that must have a shingle for it to be ordered last; such shingles, at most (the count is doubled until they are so few).
@@ -452,7 +452,7 @@ def memberships(firsts: DataFrame, crowds: DataFrame, t: int) -> DataFrame:
         if pivots.count() > 4 * CROWDS:
             pivots = None
     rest = cells if pivots is None else cells.join(F.broadcast(pivots), "h", "left_anti")
-    pairs = rest.select("h", "x").repartition(parts, "h").withColumn("p", F.xxhash64("x")).sortWithinPartitions("h", "p", "x").select("h", "x").mapInArrow(elected, "x long, c long, k long")
+    pairs = rest.select("h", "x").repartition(parts, "h").withColumn("p", F.xxhash64("x")).sortWithinPartitions("h", "p", "x").select("h", "x").mapInArrow(tidy(elected), "x long, c long, k long")
     if pivots is not None:
         pairs = pairs.union(cells.join(F.broadcast(pivots), "h").select("x", "c", F.lit(1).cast("long")))
     pairs = pairs.groupBy("x", "c").agg(F.sum("k").alias("k"))
@@ -490,7 +490,7 @@ def divided(big: DataFrame, kept: DataFrame, t: int) -> DataFrame:
         # a region for which no pivot was drawn stays whole, and goes on as it is
         members = members.join(pivots.select("region").distinct(), "region", "left_semi")
         dealt = pivots.union(members).join(kept, "x").select("region", "block", "role", "x", "kept")
-        homes = durable(dealt.repartition(parts, "region", "block").sortWithinPartitions("region", "block", "role", "x").mapInArrow(voronoi(t), "region long, x long, pivot long, at_home boolean").distinct())
+        homes = durable(dealt.repartition(parts, "region", "block").sortWithinPartitions("region", "block", "role", "x").mapInArrow(tidy(voronoi(t)), "region long, x long, pivot long, at_home boolean").distinct())
         shares = homes.groupBy("region", "pivot").agg(F.count("*").alias("k")).groupBy("region").agg(F.max("k").alias("largest"), F.sum("k").alias("all"))
         sized = sized.join(shares, "region", "left")
         shrinks = (F.col("largest") <= SHRINK * F.col("m")) & (F.col("all") < 3 * F.col("m"))
@@ -556,7 +556,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     members = members.filter("not big").select(*MEMBER)
     profiles = firsts.select(F.col("id").alias("x"), "counters")
     stay = members.select("region", "x", "n").join(profiles, "x").select("region", "x", "n", "counters").repartition(parts, "region").sortWithinPartitions("region", "n", "x")
-    members = members.join(durable(stay.mapInArrow(screened(percent), "region long, x long")), ["region", "x"]).select(*MEMBER)
+    members = members.join(durable(stay.mapInArrow(tidy(screened(percent)), "region long, x long")), ["region", "x"]).select(*MEMBER)
 
     some_many = many.limit(1).count() > 0
     members, crowded = durable(members), durable(crowded)
@@ -573,7 +573,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     if crowded.limit(1).count():
         members = members.union(divided(crowded, kept, percent))
     dealt = members.join(kept, "x").select(*MEMBER, "kept").repartition(parts, "region").sortWithinPartitions("region", "x")
-    found = durable(dealt.mapInArrow(region_links(percent), LINKS))
+    found = durable(dealt.mapInArrow(tidy(region_links(percent)), LINKS))
 
     degree = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     links = found.filter("b is not null").select("a", "b")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, arrow_map, sliced, texts
+from .common import SLICE_BYTES, arrow_map, release, sliced, texts, tidy
 from .words import SPACES, mix, words
 
 #: Labelled texts of a language in the sample, about; rounds of expectation maximisation; languages that a model may have.
@@ -254,7 +254,7 @@ def train(docs: DataFrame, model_file: str, lang_col: str = "lang", text_col: st
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys), (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
         counts: Counter = Counter()
@@ -339,6 +339,7 @@ def told(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
                 lang, score, _ = tell(part)
                 out += [name != "und" and s >= least for name, s in zip(lang, score)]
             yield pd.Series(out, dtype=bool)
+        release()
 
     return docs.filter(sure(F.col(text_col)))
 

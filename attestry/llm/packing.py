@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import bpe
-from .common import arrow_map, durable, sliced, texts
+from .common import arrow_map, durable, sliced, texts, tidy
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -167,7 +167,7 @@ def pack(table: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFra
     from pyspark.sql import types as T
 
     out = T.StructType([*schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked(table, keys).mapInArrow(run, out)
+    return ranked(table, keys).mapInArrow(tidy(run), out)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, texts
+from .common import sliced, texts, tidy
 from .words import mix
 
 #: One shingle hash in SCALE is kept, and the FLOOR smallest; code points of a shingle.
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 points = [points_of(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(p) for p in points], pa.int64()), pa.array([text_of(sketch(p)) for p in points], pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_chars long, fingerprint string")
 
 
 def with_successor(docs: DataFrame, blocks: int) -> DataFrame:
@@ -183,4 +183,4 @@ def successor_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
                     yield flush()
                     out.clear()
 
-    return dealt.mapInArrow(run, PAIRS)
+    return dealt.mapInArrow(tidy(run), PAIRS)
