@@ -20,8 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch where the session keeps Spark's default, which is meant for narrow rows: whole documents are wide.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Both sides of the pipe to Python hold whole batches; a session that set its own size keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == DEFAULT_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone: other columns, whatever their names, are pruned; a null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -83,6 +95,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 if (out := step(part)) is not None:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(tidy(run), schema)
 
 

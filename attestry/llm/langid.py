@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, arrow_map, release, sliced, texts, tidy
+from .common import SLICE_BYTES, arrow_map, release, sliced, small_batches, texts, tidy
 from .words import SPACES, mix, words
 
 #: Labelled texts of a language in the sample, about; rounds of expectation maximisation; languages that a model may have.
@@ -341,6 +341,7 @@ def told(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
             yield pd.Series(out, dtype=bool)
         release()
 
+    small_batches(docs.sparkSession)
     return docs.filter(sure(F.col(text_col)))
 
 
