@@ -72,10 +72,11 @@ class Element:
 
     __slots__ = ("tag", "path", "noise", "main", "low", "block", "last", "style", "parts")
 
-    def __init__(self, tag: str, path: int, noise: bool, main: bool, low: bool, block: Element | None):
+    def __init__(self, tag: str, path: int, noise: bool, main: bool, low: bool, block: Element | None, node: bool):
         self.tag, self.path, self.noise, self.main, self.low = tag, path, noise, main, low
         self.block = block or self
-        self.last, self.style, self.parts = "", xxhash.xxh64(), xxhash.xxh64()
+        if node:
+            self.last, self.style, self.parts = "", xxhash.xxh64(), xxhash.xxh64()
 
 
 def is_noise(tag: str, attrs: dict[str, str | None], main: bool) -> bool:
@@ -99,7 +100,7 @@ class Reader(HTMLParser):
         self.with_nodes, self.low_paths = nodes, low_paths
         self.blocks: list[tuple[bool, bool, bool, str]] = []
         self.nodes: list[tuple[int, int, int]] = []
-        self.stack = [Element("", 0, False, False, False, None)]
+        self.stack = [Element("", 0, False, False, False, None, nodes)]
         self.open: Counter[str] = Counter()
         self.held: list[str] = []
 
@@ -109,7 +110,7 @@ class Reader(HTMLParser):
         if text:
             top = self.stack[-1].block
             self.blocks.append((top.noise, top.low, top.main, text))
-            if self.with_nodes:
+            if self.with_nodes and not top.noise:
                 top.parts.update(text + "\n")
 
     def pop(self) -> None:
@@ -141,10 +142,10 @@ class Reader(HTMLParser):
         if not inline:
             label = tag + "".join(f".{c}" for c in sorted((named.get("class") or "").split())) + (f"#{named['id']}" if named.get("id") else "")
             path = hash_of(up.path, re.sub(r"[0-9]+", "0", label))
-            if self.with_nodes and up.block.last != label:
+            if self.with_nodes and not up.noise and up.block.last != label:
                 up.block.last = label
                 up.block.style.update(label + "|")
-        self.stack.append(Element(tag, path, noise, main, up.low or (path in self.low_paths and not main), up.block if inline else None))
+        self.stack.append(Element(tag, path, noise, main, up.low or (path in self.low_paths and not main), up.block if inline else None, self.with_nodes and not inline and not noise))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

@@ -372,6 +372,15 @@ def test_undeclared_template_goes_by_the_tree(spark):
     assert "Welcome" in sitetree.main_text(rows[1][2], set(), set())
 
 
+def test_a_page_without_article_stays_among_pages_with_one(spark):
+    nav, foot = "<div class='x'>Same links</div>", "<div class='y'>Same end</div>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{nav}<article><p>Text {i} {'z' * i} of its own</p></article>{foot}</body>") for i in range(9)]
+    rows.append((9, "http://h.example/9", f"<body>{nav}<section><p>A text in no article, longer than all that stands around it</p></section>{foot}</body>"))
+    got = dict(collect(sitetree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
+    assert got[9] == "A text in no article, longer than all that stands around it"
+    assert all(got[i] == f"Text {i} {'z' * i} of its own".replace("  ", " ") for i in range(9))
+
+
 def test_deep_and_malformed_pages():
     for deep in ("<div>" * 100_000 + "text", "<div><p>x</span></b></ul>" * 20_000 + "text", "<b>" * 100_000 + "text</i>" * 1000, "<p" * 50_000, "</div>" * 100_000 + "text", "<div " + "a=1 " * 50_000 + ">text"):
         reader = sitetree.read(deep, nodes=True)
