@@ -454,16 +454,22 @@ def q_nearest_values(spark, sf_dir):
     return layout.nearest_values(layout.label_values(items.filter("col = 0"), items.filter("col > 0"))).select("doc_id", "label_id", "value_id")
 
 
-@query(ITEMS + " SELECT doc_id, 1 AS page, 10 * count(*) FILTER (length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) <= 3) <= 4 * count(*) AS admitted FROM i GROUP BY doc_id")
+@query("SELECT c_custkey::VARCHAR AS doc_id, 1 AS page, c_mktsegment = 'FURNITURE' OR (c_custkey >= 1000 AND c_acctbal >= 0) AS admitted FROM customer")
 def q_page_admission(spark, sf_dir):
-    return generic.admitted_pages(page_items(spark, sf_dir))
+    """Pages of a name, a segment and two numbers, short ones being stamp debris; some have a caption, some are tilted every way."""
+    caption = F.when(F.col("c_mktsegment") == "FURNITURE", F.lit("Segment:"))
+    texts = F.array("c_name", "c_mktsegment", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), caption)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"), "c_acctbal", F.posexplode(texts).alias("node_id", "text"))
+    angle = F.when(F.col("c_acctbal") < 0, 20 * (F.col("node_id") + 1)).otherwise(0)
+    box = {c: F.lit(0.5) for c in ("confidence", "x1", "y1", "x2", "y2")}
+    return generic.admitted_pages(rows.withColumns({**box, "confidence": F.lit(0.9), "region_id": F.lit(None), "angle": angle}).drop("c_acctbal"))
 
 
 def card_items(spark, sf_dir) -> DataFrame:
     """Each customer as a card: a number beside its caption, an amount below its own, and lines that hold their fields."""
     key = F.col("c_custkey").cast("string")
     line = lambda k, text, x, y: F.struct(F.lit(k).alias("node_id"), text.alias("text"), F.lit(x).alias("x1"), F.lit(y).alias("y1"))
-    code = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("AC-"), F.lpad(key, 12, "0")))  # odd cards have none
+    code = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("AC-"), F.lpad(key, 12, "0")))  # cards in debt have none
     lines = [line("a", F.lit("Account Code"), 0.1, 0.1), line("b", code, 0.32, 0.1), line("c", F.lit("Balance / Saldo"), 0.1, 0.3), line("d", F.concat(F.lit("$"), key, F.lit(".50")), 0.1, 0.33), line("e", F.concat(F.lit("Nation: "), F.lit("NATION NUMBER "), F.translate(F.col("c_nationkey").cast("string"), "0123456789", "ABCDEFGHIJ")), 0.1, 0.6), line("f", F.concat(F.lit("Phone +1 555 "), F.lpad(key, 8, "0")), 0.1, 0.7)]
     rows = table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.explode(F.array(*lines)).alias("l")).select("doc_id", F.lit(1).alias("page"), "l.*")
     return rows.select("*", (F.col("x1") + 0.2).alias("x2"), (F.col("y1") + 0.02).alias("y2"), F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("region_id"))
@@ -471,7 +477,7 @@ def card_items(spark, sf_dir) -> DataFrame:
 
 @query("""
 SELECT c_custkey::VARCHAR AS doc_id, f.canonical_label, f.value_type, f.value FROM customer, unnest([
-  {'canonical_label': 'account_code', 'value_type': 'id_number', 'value': CASE WHEN c_custkey % 2 = 0 THEN 'AC-' || lpad(c_custkey::VARCHAR, 12, '0') END},
+  {'canonical_label': 'account_code', 'value_type': 'id_number', 'value': CASE WHEN c_acctbal >= 0 THEN 'AC-' || lpad(c_custkey::VARCHAR, 12, '0') END},
   {'canonical_label': 'balance', 'value_type': 'amount', 'value': '$' || c_custkey || '.50'},
   {'canonical_label': 'nation', 'value_type': 'text', 'value': 'NATION NUMBER ' || translate(c_nationkey::VARCHAR, '0123456789', 'ABCDEFGHIJ')},
   {'canonical_label': 'phone', 'value_type': 'phone', 'value': '+1 555 ' || lpad(c_custkey::VARCHAR, 8, '0')}]) u(f) WHERE f.value IS NOT NULL""")
