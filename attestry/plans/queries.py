@@ -282,14 +282,8 @@ def q_exact_duplicates(spark, sf_dir):
     return workspace.content_classes(docs, F.coalesce("text", F.lit("")), "doc_id")
 
 
-@query("SELECT doc_id FROM documents d WHERE text IN (SELECT text FROM documents k WHERE k.doc_id < 100) AND doc_id >= 100")
-def q_known_duplicates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return workspace.known_duplicates(docs.filter("doc_id >= 100"), docs.filter("doc_id < 100")).select("doc_id")
-
-
 @query("SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE text IS NOT NULL) WHERE doc_id > first")
-def q_known_duplicates_all(spark, sf_dir):
+def q_known_duplicates(spark, sf_dir):
     """The first document of every text is known; all others come in."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
     known = docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
@@ -580,35 +574,20 @@ def q_mrz_zones(spark, sf_dir):
     return read.select("c_custkey", "m.format", "m.status", "m.fields.document_number", F.get("m.checks", 0)["computed"].alias("computed"), "m.fields.surname", "m.fields.given_names", "m.fields.date_of_birth")
 
 
-def order_scores(spark, sf_dir, orders: DataFrame, doc_id: Column) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    anchors = c.select(F.col("c_nationkey").cast("string").alias("template_id"), F.col("c_mktsegment").alias("anchor_id"), F.col("c_mktsegment").alias("value")).distinct()
-    zones = anchors.select("template_id").distinct().withColumns({"has_mrz": F.col("template_id").cast("int") % 2 == 0, "has_table": F.lit(False)})
-    items = orders.join(c, F.col("o_custkey") == F.col("c_custkey")).select(doc_id.cast("string").alias("doc_id"), F.col("c_mktsegment").alias("text"))
-    own = items.select("doc_id").distinct().withColumns({"has_mrz": F.col("doc_id").cast("int") % 2 == 0, "has_table": F.lit(False)})
-    return layout.template_scores(anchors, zones, items, own).select("doc_id", "template_id", F.round("score", 6).alias("score"))
-
-
-@query("""
-WITH a AS (SELECT c_nationkey AS template_id, lower(trim(c_mktsegment)) AS t FROM customer GROUP BY ALL),
-n AS (SELECT template_id, count(*) AS n FROM a GROUP BY 1),
-i AS (SELECT DISTINCT o_custkey % 7 AS doc_id, lower(trim(c_mktsegment)) AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 3 = 0),
-h AS (SELECT doc_id, template_id, count(*) AS m FROM a JOIN i USING (t) GROUP BY ALL)
-SELECT doc_id::VARCHAR AS doc_id, template_id::VARCHAR AS template_id, round((m / n * 0.5 + CASE WHEN template_id % 2 = doc_id % 2 THEN 0.1 ELSE 0.05 END) / 0.6, 6) AS score FROM h JOIN n USING (template_id)""")
-def q_template_scores(spark, sf_dir):
-    """The orders of every third customer; q_template_scores_all scores all of them."""
-    return order_scores(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0"), F.col("o_custkey") % 7)
-
-
 @query("""
 WITH a AS (SELECT c_nationkey AS template_id, lower(trim(c_mktsegment)) AS t FROM customer GROUP BY ALL),
 n AS (SELECT template_id, count(*) AS n FROM a GROUP BY 1),
 i AS (SELECT DISTINCT o_custkey AS doc_id, lower(trim(c_mktsegment)) AS t FROM orders JOIN customer ON o_custkey = c_custkey),
 h AS (SELECT doc_id, template_id, count(*) AS m FROM a JOIN i USING (t) GROUP BY ALL)
 SELECT doc_id::VARCHAR AS doc_id, template_id::VARCHAR AS template_id, round((m / n * 0.5 + CASE WHEN template_id % 2 = doc_id % 2 THEN 0.1 ELSE 0.05 END) / 0.6, 6) AS score FROM h JOIN n USING (template_id)""")
-def q_template_scores_all(spark, sf_dir):
-    """All orders, those of a customer as one document."""
-    return order_scores(spark, sf_dir, table(spark, sf_dir, "orders"), F.col("o_custkey"))
+def q_template_scores(spark, sf_dir):
+    """The orders of a customer as one document, against the segments of each nation."""
+    c = table(spark, sf_dir, "customer")
+    anchors = c.select(F.col("c_nationkey").cast("string").alias("template_id"), F.col("c_mktsegment").alias("anchor_id"), F.col("c_mktsegment").alias("value")).distinct()
+    zones = anchors.select("template_id").distinct().withColumns({"has_mrz": F.col("template_id").cast("int") % 2 == 0, "has_table": F.lit(False)})
+    items = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("c_mktsegment").alias("text"))
+    own = items.select("doc_id").distinct().withColumns({"has_mrz": F.col("doc_id").cast("int") % 2 == 0, "has_table": F.lit(False)})
+    return layout.template_scores(anchors, zones, items, own).select("doc_id", "template_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT label AS family, count(*)::BIGINT AS entries, count(*) FILTER (vec_id % 5 <> 0)::BIGINT AS passed, sum((vec_id % 50 = 0)::INT)::BIGINT AS silent_errors, round(count(*) FILTER (vec_id % 3 = 0 AND vec_id % 2 = 0) / greatest(count(*) FILTER (vec_id % 2 = 0), 1), 6) AS mrz_valid_rate FROM embeddings GROUP BY 1")

@@ -19,14 +19,14 @@ def test_entry_imports_and_runs(spark):
 
 def test_template_scores_of_all_orders(spark, sf):
     with_customer = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct()
-    got = Q.q_template_scores_all(spark, sf).select("doc_id").distinct()
+    got = Q.q_template_scores(spark, sf).select("doc_id").distinct()
     assert got.count() == with_customer.count() > with_customer.filter("o_custkey % 3 = 0").count()
 
 
 def test_known_duplicates_of_any_document(spark, tmp_path):
     rows = [(5, "a"), (150, "b"), (160, "b"), (170, "a"), (180, None), (190, None), (200, "b"), (210, "c")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(r.doc_id for r in Q.q_known_duplicates_all(spark, str(tmp_path)).collect()) == [160, 170, 200]
+    assert sorted(r.doc_id for r in Q.q_known_duplicates(spark, str(tmp_path)).collect()) == [160, 170, 200]
 
 
 def test_document_kinds_reads_past_a_million_lines(spark, tmp_path):
