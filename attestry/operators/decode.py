@@ -9,7 +9,7 @@ import math
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,6 +106,11 @@ def sex_grammar() -> OneOf:
     return OneOf("MFX")
 
 
+def entries(lattice: list | None) -> list[list[tuple[str, float]]]:
+    """A lattice as it comes from a row; none for null."""
+    return [[(e["ch"], e["p"]) for e in step] for step in lattice or []]
+
+
 def beam(lattice: list[list[tuple[str, float]]], grammar, width: int = 50, prior: Callable[[str, int], float] | None = None) -> list[tuple[str, float]]:
     """Accepted texts with their log-probability, best first: paths that spell the same text with the same last symbol are summed.
 
@@ -137,6 +142,57 @@ def beam(lattice: list[list[tuple[str, float]]], grammar, width: int = 50, prior
     return sorted(out.items(), key=lambda kv: (-kv[1], kv[0]))
 
 
+def spelled(lattice: list[list[tuple[str, float]]], text: str) -> list[tuple[int, float]]:
+    """For each character of a text the step that shows it best, and its probability there, on the likeliest path that spells the text."""
+    slots = ["", *(x for ch in text for x in (ch, ""))]  # a blank may stand before, between and after the characters
+    log = lambda step, ch: max((math.log(p) for c, p in step if c == ch and p > 0), default=-math.inf)
+    best, back = [-math.inf] * len(slots), []
+    for t, step in enumerate(lattice):
+        seen = {ch: log(step, ch) for ch in set(slots)}
+        now, came = [], []
+        for j, ch in enumerate(slots):
+            ways = [j, *([j - 1] if j else []), *([j - 2] if j > 1 and ch not in ("", slots[j - 2]) else [])]
+            k = max(ways, key=lambda i: best[i]) if t else j
+            now.append((best[k] if t else (0.0 if j < 2 else -math.inf)) + seen[ch])
+            came.append(k)
+        best = now
+        back.append(came)
+    at = max(range(max(0, len(slots) - 2), len(slots)), key=lambda j: best[j])
+    found: dict[int, tuple[int, float]] = {}
+    for t in range(len(lattice) - 1, -1, -1):
+        if slots[at]:
+            p = math.exp(log(lattice[t], slots[at]))
+            if p > found.get(at, (0, -1.0))[1]:
+                found[at] = (t, p)
+        at = back[t][at]
+    return [found.get(2 * i + 1, (0, 0.0)) for i in range(len(text))]
+
+
+def span_posterior(probabilities: list[float]) -> float:
+    """The geometric mean of a span's characters; 0 for none."""
+    return math.exp(sum(math.log(max(p, 1e-9)) for p in probabilities) / len(probabilities)) if probabilities else 0.0
+
+
+#: Fixed value: mean posterior under which a text read again under a grammar is no reading.
+READ_FLOOR = 0.45
+
+
+def redecoder(make: Callable[[], object], width: int = 50, floor: float = READ_FLOOR):
+    """A vectorised function from lattices to the text that a grammar finds there; null where it finds none or only a weak one."""
+
+    @F.arrow_udf("string")
+    def decode(lattices: pa.Array) -> pa.Array:
+        grammar, out = make(), []
+        for steps in map(entries, lattices.to_pylist()):
+            found = beam(steps, grammar, width) if steps else []
+            text = found[0][0] if found else None
+            sure = text is not None and span_posterior([p for _, p in spelled(steps, text)]) >= floor
+            out.append(text if sure else None)
+        return pa.array(out, pa.string())
+
+    return decode
+
+
 def log_add(a: float, b: float) -> float:
     hi, lo = max(a, b), min(a, b)
     return hi + math.log1p(math.exp(lo - hi))
@@ -145,14 +201,14 @@ def log_add(a: float, b: float) -> float:
 def beam_decoder(make: Callable[[], object], width: int = 50):
     """A vectorised function from lattices to struct<text, logp, runner_up> under a grammar; null text where nothing is accepted."""
 
-    @F.pandas_udf("text string, logp double, runner_up string")
-    def decode(lattices: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<text:string,logp:double,runner_up:string>")
+    def decode(lattices: pa.Array) -> pa.Array:
         grammar, rows = make(), []
-        for lattice in lattices:
-            steps = [[(e["ch"], e["p"]) for e in step] for step in (lattice if lattice is not None else [])]
+        for steps in map(entries, lattices.to_pylist()):
             found = beam(steps, grammar, width) if steps else []
-            rows.append((found[0][0], found[0][1], found[1][0] if len(found) > 1 else None) if found else (None, None, None))
-        return pd.DataFrame(rows, columns=["text", "logp", "runner_up"])
+            best = found[0] if found else (None, None)
+            rows.append({"text": best[0], "logp": best[1], "runner_up": found[1][0] if len(found) > 1 else None})
+        return pa.array(rows, pa.struct([("text", pa.string()), ("logp", pa.float64()), ("runner_up", pa.string())]))
 
     return decode
 

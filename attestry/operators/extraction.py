@@ -84,6 +84,54 @@ def extract(items: DataFrame, registry: DataFrame) -> DataFrame:
     return won.unionByName(inline.withColumn("review_cap", F.lit(None).cast("string")).dropDuplicates(["doc_id", "canonical_label"]))
 
 
+# Labels of free text that may wrap; lines that are joined at most; slack of alignment, gap and height.
+WRAPPED, LINES, ALIGN, LINE_GAP, HEIGHTS = ["issuing_authority", "place_of_birth"], 2, 0.02, 1.6, (0.6, 1.6)
+
+
+def continued(fields: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, canonical_label, value, continuation): wrapped free text with the lines right below it, at most two.
+
+    fields: doc_id, ord, canonical_label, value_id, value. A line goes on if it is close, aligned left or at the centre, as high, in the
+    same region where both have one, no field's value, and free text; of several the first in reading order. A line serves one field, the
+    earlier. Fields that do not wrap are not listed."""
+    boxes = items.select("doc_id", F.col("node_id").alias("value_id"), "page", "x1", "y1", "x2", "y2", "region_id")
+    box = ["page", "x1", "y1", "x2", "y2", "region_id"]
+    heads = fields.filter(F.col("canonical_label").isin(WRAPPED)).select("doc_id", "ord", "canonical_label", "value_id", "value").join(boxes, ["doc_id", "value_id"])
+    heads = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "canonical_label", "value", *box))).alias("heads"))
+    text = S.strip(F.col("text"))
+    free = ~S.parse_date(text)["valid"] & ~text.rlike(r"^\d[\d\s/.-]*$") & text.rlike("[A-Za-z]")
+    rest = items.join(heads.select("doc_id"), "doc_id", "left_semi").join(fields.select("doc_id", F.col("value_id").alias("node_id")), ["doc_id", "node_id"], "left_anti")
+    lines = rest.filter(free & ~is_caption(F.col("text"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "node_id", S.clean_text(F.col("text")).alias("text"), "page", "x2", "y2", "region_id"))).alias("lines"))
+
+    def follows(line: Column, tail: Column) -> Column:
+        high = F.greatest(tail["y2"] - tail["y1"], F.lit(0.004))
+        apart = line["y1"] - tail["y2"]
+        left = F.abs(line["x1"] - tail["x1"]) <= ALIGN
+        centre = F.abs((line["x1"] + line["x2"] - tail["x1"] - tail["x2"]) / 2) <= ALIGN
+        region = line["region_id"].isNull() | tail["region_id"].isNull() | (line["region_id"] == tail["region_id"])
+        return (line["page"] == tail["page"]) & region & (apart >= -0.005) & (apart <= LINE_GAP * high) & (left | centre) & ((line["y2"] - line["y1"]) / high).between(*HEIGHTS)
+
+    place = lambda x: F.struct(*(x[c].alias(c) for c in box))
+
+    def grown(state: Column) -> Column:
+        """state: struct<tail, parts, taken> with the next line, if there is one."""
+        found = F.get(F.filter("lines", lambda x: ~F.array_contains(state["taken"], x["node_id"]) & follows(x, state["tail"])), 0)
+        more = lambda x: F.struct(place(x).alias("tail"), F.array_append(state["parts"], x["text"]).alias("parts"), F.array_append(state["taken"], x["node_id"]).alias("taken"))
+        return S.let(found, lambda x: F.when(x.isNull(), state).otherwise(more(x)))
+
+    def step(acc: Column, head: Column) -> Column:
+        state = F.struct(place(head).alias("tail"), F.array(head["value"]).alias("parts"), acc["taken"].alias("taken"))
+        for _ in range(LINES):
+            state = S.let(state, grown)
+        row = lambda s: F.struct(head["canonical_label"].alias("canonical_label"), F.array_join(s["parts"], " ").alias("value"), F.slice(s["taken"], F.size(acc["taken"]) + 1, F.size(s["taken"]) - F.size(acc["taken"])).alias("continuation"))
+        return S.let(state, lambda s: F.struct(s["taken"].alias("taken"), F.array_append(acc["out"], row(s)).alias("out")))
+
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<canonical_label:string,value:string,continuation:array<string>>>").alias("out"))
+    rows = heads.join(lines, "doc_id", "left")
+    rows = rows.withColumn("lines", F.coalesce("lines", F.array().cast(rows.schema["lines"].dataType)))
+    return rows.select("doc_id", F.explode(F.aggregate("heads", start, step)["out"]).alias("f")).select("doc_id", "f.*")
+
+
 def first_page_wins(fields: DataFrame, pages: int = 8) -> DataFrame:
     """fields (doc_id, page, canonical_label, ..): of a label on several of the first pages, the first page's."""
     rows = fields.filter(F.col("page") <= pages)

@@ -50,6 +50,7 @@ def validators(now_year: int = NOW_YEAR) -> list[Column]:
         S.let(amount["valid"], lambda ok: told("amount_format", kind.isin("amount", "currency") & some, passes(ok, "fail"), "high", suggests(ok, "invalid"))),
         S.let(S.is_valid_email(S.strip(value)), lambda ok: told("email_format", (kind == "email") & some, passes(ok, "fail"), "medium", suggests(ok, "invalid"))),
         S.let(S.is_plausible_phone(value), lambda ok: told("phone_format", (kind == "phone") & some, passes(ok, "warn"), "low", suggests(ok, "needs_review"))),
+        S.let(F.upper(S.strip(value)).isin("M", "F", "X"), lambda ok: told("sex_token", F.coalesce("label", F.lit("")).rlike(r"(?i)\bsex\b|gender|\bsexe\b") & some, passes(ok, "fail"), "medium", suggests(ok, "needs_review"))),
         S.let(zone, lambda z: told("mrz_checksum", (kind == "mrz") & some, F.when(z == "invalid", "fail").when(z == "valid", "pass").otherwise("warn"), "critical", F.when(z == "invalid", "invalid").when(z != "valid", "needs_review"))),
     ]
 
@@ -62,6 +63,12 @@ def id_pattern(patterns: dict[str, str]) -> Column:
     return S.let(ok, lambda x: told("id_pattern", (F.col("value_type") == "id_number") & x.isNotNull(), passes(x, "fail"), "medium", suggests(x, "invalid")))
 
 
+def table_arithmetic(lines: Column, expected: Column, tolerance: float = 0.01) -> Column:
+    """A rule for totals: the numbers of ``lines`` (null counts nothing) sum to ``expected``, else the field is in conflict."""
+    total = F.aggregate(lines, F.lit(0.0), lambda a, v: a + F.coalesce(v.cast("double"), F.lit(0.0)))
+    return S.let(F.abs(total - expected) <= tolerance, lambda ok: told("table_arithmetic", ok.isNotNull(), passes(ok, "fail"), "high", suggests(ok, "conflict")))
+
+
 def validate(fields: DataFrame, rules: list[Column] | None = None) -> DataFrame:
     """(doc_id, id, validator, status, severity, suggested): one row for each rule that applies to a field that is not rejected.
 
@@ -118,6 +125,43 @@ def closure_caps(fields: DataFrame, doc_types: DataFrame) -> DataFrame:
     return rows.join(broken, "doc_id").filter(F.array_contains("wanted", F.col("canonical_label"))).select("doc_id", "id")
 
 
+# Labels that hold a name whatever their type, by what read them.
+NAMES = {"registry": ["vendor"], "generic": ["vendor", "full_name"]}
+
+
+def witnessed(label: Column, value: Column, surname: Column, given: Column) -> Column:
+    """Whether a proven zone states this name."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), r"['’-]", " "), r"\s+", " "))
+    v, s, g = plain(value), plain(surname), plain(given)
+    full = v.isin(F.concat_ws(" ", g, s), F.concat_ws(" ", s, g)) & s.isNotNull() & g.isNotNull()
+    return F.coalesce(F.when(label == "surname", v == s).when(label.isin("given_names", "given_name"), v == g).when(label == "full_name", full), F.lit(False))
+
+
+def review_caps(fields: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, id, review_cap): why a field may not be confirmed without a person; null where nothing speaks against it.
+
+    fields: doc_id, id, canonical_label, value_type, value, origin (registry, generic, continuation), ambiguous, proven (a zone's
+    checks prove it). documents: doc_id, identity, zone (none, refused, proven), surname, given_names, one row each; a field
+    without one is on no identity document. Pixels alone prove no identifier and no name; only a proven zone that states a name
+    frees it. A date beside a refused zone and everything on continuation pages is a question too."""
+    rows = fields.join(documents.select("doc_id", "identity", "zone", "surname", "given_names"), "doc_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    label, kind, origin = F.coalesce("canonical_label", F.lit("")), F.coalesce("value_type", F.lit("")), F.col("origin")
+    zone = F.coalesce("zone", F.lit("none"))
+    name = lambda where: (kind == "name") | label.isin(NAMES[where])
+    vouched = (kind == "name") & witnessed(label, F.col("value"), F.col("surname"), F.col("given_names"))
+    name_cap = F.when(~yes("identity"), "unattested name").when(zone != "proven", "name without a proven zone").when(~vouched, "name differs from the zone")
+    registry = F.coalesce(
+        F.when((kind == "id_number") & ~yes("proven"), "unattested identifier"),
+        F.when(name("registry"), name_cap),
+        F.when(yes("ambiguous"), "ambiguous"),
+        F.when((kind == "date") & yes("identity") & (zone == "refused"), "date beside a refused zone"),
+    )
+    generic = F.when((kind == "id_number") | name("generic"), "unattested generic read")
+    cap = F.when(origin == "continuation", "continuation page").when(origin == "generic", generic).otherwise(registry)
+    return rows.select("doc_id", "id", cap.alias("review_cap"))
+
+
 # --- second reads -------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from attestry.functions import checksums as C
 from attestry.functions import fuzzy, geometry, mrz, payloads
 from attestry.functions import scalars as S
-from attestry.operators import classify, consensus, decode, gate, generic, layout, learning, tables, verify, workspace
+from attestry.operators import classify, consensus, decode, extraction, gate, generic, layout, learning, review, tables, verify, workspace
 from attestry.sources import files, stores
 from attestry.streaming import routing, windows
 
@@ -556,12 +556,7 @@ def q_document_kinds(spark, sf_dir):
 # --- zones, templates, gates ----------------------------------------------------------------------------
 
 
-@query("""
-WITH c AS (SELECT c_custkey, 'L' || lpad((c_custkey % 100000000)::VARCHAR, 8, '0') AS n FROM customer),
-g AS (SELECT c_custkey, n, unnest(range(9)) AS i FROM c),
-v AS (SELECT c_custkey, n, sum(CASE WHEN i = 0 THEN 21 ELSE substr(n, i + 1, 1)::INT END * [7, 3, 1][i % 3 + 1]) % 10 AS d FROM g GROUP BY ALL)
-SELECT c_custkey, 'TD3' AS format, CASE WHEN c_custkey % 2 = 0 THEN 'valid' ELSE 'invalid' END AS status, n AS document_number, d::VARCHAR AS computed, 'ERIKSSON' AS surname, 'ANNA MARIA' AS given_names, '1974-08-12' AS date_of_birth FROM v""")
-def q_mrz_zones(spark, sf_dir):
+def passports(spark, sf_dir) -> DataFrame:
     """Passports of the customers, with right check digits on even keys and a wrong one on odd ones."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("L"), F.lpad((F.col("c_custkey") % 100000000).cast("string"), 8, "0")).alias("n"))
     d = C.icao_check(F.col("n")).cast("int")
@@ -570,7 +565,16 @@ def q_mrz_zones(spark, sf_dir):
     comp = F.concat(head, F.lit("7408122"), F.lit("1204159"), F.lit("ZE184226B<<<<<1"))
     second = F.concat(head, F.lit("UTO7408122F1204159ZE184226B<<<<<1"), C.icao_check(comp).cast("string"))
     zone = F.concat(F.lit("P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\n"), second)
-    read = rows.select("c_custkey", mrz.parse_mrz(zone, 2026).alias("m"))
+    return rows.select("c_custkey", zone.alias("zone"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, 'L' || lpad((c_custkey % 100000000)::VARCHAR, 8, '0') AS n FROM customer),
+g AS (SELECT c_custkey, n, unnest(range(9)) AS i FROM c),
+v AS (SELECT c_custkey, n, sum(CASE WHEN i = 0 THEN 21 ELSE substr(n, i + 1, 1)::INT END * [7, 3, 1][i % 3 + 1]) % 10 AS d FROM g GROUP BY ALL)
+SELECT c_custkey, 'TD3' AS format, CASE WHEN c_custkey % 2 = 0 THEN 'valid' ELSE 'invalid' END AS status, n AS document_number, d::VARCHAR AS computed, 'ERIKSSON' AS surname, 'ANNA MARIA' AS given_names, '1974-08-12' AS date_of_birth FROM v""")
+def q_mrz_zones(spark, sf_dir):
+    read = passports(spark, sf_dir).select("c_custkey", mrz.parse_mrz(F.col("zone"), 2026).alias("m"))
     return read.select("c_custkey", "m.format", "m.status", "m.fields.document_number", F.get("m.checks", 0)["computed"].alias("computed"), "m.fields.surname", "m.fields.given_names", "m.fields.date_of_birth")
 
 
@@ -706,3 +710,97 @@ SELECT doc_id, CASE WHEN count(*) FILTER (s <> 'A') = 0 THEN 'all_proven' WHEN c
 def q_read_plan(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("string").alias("label"), F.when(F.col("l_returnflag") == "A", "confirmed").when(F.col("l_returnflag") == "R", "refused").otherwise("review").alias("status"), F.lit("amount").alias("value_type"), F.lit(True).alias("has_box"))
     return verify.plan_reads(rows, 0, 300, 100).select("doc_id", "plan", F.size("targets").alias("n"))
+
+
+# --- review, zones and samples --------------------------------------------------------------------------
+
+
+@query("""
+SELECT c_custkey AS doc_id, f.canonical_label, f.value, f.confidence::DOUBLE AS confidence, CASE WHEN f.passed THEN 'passed' WHEN NOT f.passed THEN 'failed' ELSE 'uncovered' END AS checked FROM (SELECT *, 'L' || lpad((c_custkey % 100000000)::VARCHAR, 8, '0') AS n FROM customer), unnest([
+  {'canonical_label': 'passport_number', 'value': n, 'confidence': CASE WHEN c_custkey % 2 = 0 THEN 0.99 ELSE 0.55 END, 'passed': c_custkey % 2 = 0},
+  {'canonical_label': 'full_name', 'value': 'ANNA MARIA ERIKSSON', 'confidence': 0.97, 'passed': NULL}, {'canonical_label': 'surname', 'value': 'ERIKSSON', 'confidence': 0.97, 'passed': NULL},
+  {'canonical_label': 'given_names', 'value': 'ANNA MARIA', 'confidence': 0.97, 'passed': NULL}, {'canonical_label': 'nationality', 'value': 'Utopia', 'confidence': 0.97, 'passed': NULL},
+  {'canonical_label': 'date_of_birth', 'value': '1974-08-12', 'confidence': 0.99, 'passed': true}, {'canonical_label': 'sex', 'value': 'F', 'confidence': 0.97, 'passed': NULL},
+  {'canonical_label': 'date_of_expiry', 'value': '2012-04-15', 'confidence': 0.99, 'passed': true}, {'canonical_label': 'document_type', 'value': 'P', 'confidence': 0.97, 'passed': NULL},
+  {'canonical_label': 'country_code', 'value': 'UTO', 'confidence': 0.97, 'passed': NULL}, {'canonical_label': 'personal_number', 'value': 'ZE184226B', 'confidence': 0.99, 'passed': true}]) u(f)""")
+def q_zone_fields(spark, sf_dir):
+    """What the zones of the customers' passports state, and which of it a check digit covers."""
+    read = passports(spark, sf_dir).select("c_custkey", F.explode(mrz.derived_fields(mrz.parse_mrz(F.col("zone"), 2026), {"UTO": "Utopia"})).alias("f"))
+    return read.select(F.col("c_custkey").alias("doc_id"), "f.canonical_label", "f.value", "f.confidence", F.when(F.col("f.checksum_passed"), "passed").when(~F.col("f.checksum_passed"), "failed").otherwise("uncovered").alias("checked"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_nationkey % 2 = 0 AS identity FROM customer)
+SELECT k AS doc_id, 'number' AS id, CASE WHEN k % 2 <> 0 THEN 'unattested identifier' END AS review_cap FROM c UNION ALL
+SELECT k, 'name', CASE WHEN NOT identity THEN 'unattested name' WHEN k % 3 <> 2 THEN 'name without a proven zone' WHEN k % 5 <> 0 THEN 'name differs from the zone' END FROM c UNION ALL
+SELECT k, 'date', CASE WHEN k % 7 = 0 THEN 'ambiguous' WHEN identity AND k % 3 = 1 THEN 'date beside a refused zone' END FROM c UNION ALL
+SELECT k, 'vendor', 'unattested generic read' FROM c UNION ALL
+SELECT k, 'total', 'continuation page' FROM c""")
+def q_review_caps(spark, sf_dir):
+    """Five fields of each customer; every other nation's are on identity documents, whose zones are absent, refused or proven."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    no = F.lit(False)
+    field = lambda name, label, kind, value, origin, ambiguous, proven: F.struct(F.lit(name).alias("id"), F.lit(label).alias("canonical_label"), F.lit(kind).alias("value_type"), value.alias("value"), F.lit(origin).alias("origin"), ambiguous.alias("ambiguous"), proven.alias("proven"))
+    fields = [field("number", "passport_number", "id_number", F.lit("A1"), "registry", no, k % 2 == 0), field("name", "full_name", "name", F.when(k % 5 == 0, "Anna  O'Neill").otherwise("Ann O Neill"), "registry", no, no), field("date", "date_of_birth", "date", F.lit("2024-01-01"), "registry", k % 7 == 0, no), field("vendor", "vendor", "text", F.lit("x"), "generic", no, no), field("total", "total", "amount", F.lit("1"), "continuation", no, no)]
+    rows = c.select(k.alias("doc_id"), F.explode(F.array(*fields)).alias("f")).select("doc_id", "f.*")
+    docs = c.select(k.alias("doc_id"), (F.col("c_nationkey") % 2 == 0).alias("identity"), F.get(F.array(*map(F.lit, ("none", "refused", "proven"))), (k % 3).cast("int")).alias("zone"), F.lit("O NEILL").alias("surname"), F.lit("ANNA").alias("given_names"))
+    return verify.review_caps(rows, docs)
+
+
+@query("SELECT c_custkey::VARCHAR AS doc_id, c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' OFFICE NORTH' || CASE WHEN c_custkey % 2 = 0 THEN ' CITY' ELSE '' END END AS value, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 2 - c_custkey % 2 END::INT AS n FROM customer")
+def q_continued(spark, sf_dir):
+    """An authority with two lines below: the first is a date on every third card, the second stands apart on odd ones."""
+    k = F.col("c_custkey")
+    line = lambda node, text, x, y: F.struct(F.lit(node).alias("node_id"), text.alias("text"), x.alias("x1"), F.lit(y).alias("y1"))
+    lines = [line("a", F.col("c_mktsegment"), F.lit(0.1), 0.1), line("b", F.when(k % 3 == 0, "2024-01-01").otherwise("OFFICE  NORTH"), F.lit(0.1), 0.14), line("c", F.lit("CITY"), F.when(k % 2 == 0, 0.1).otherwise(0.5), 0.18)]
+    cards = table(spark, sf_dir, "customer").select(k.cast("string").alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array(*lines)).alias("l")).select("doc_id", "page", "l.*")
+    items = cards.select("*", (F.col("x1") + 0.2).alias("x2"), (F.col("y1") + 0.03).alias("y2"), F.lit(None).cast("string").alias("region_id"))
+    fields = items.filter("node_id = 'a'").select("doc_id", F.lit(1).alias("ord"), F.lit("issuing_authority").alias("canonical_label"), F.col("node_id").alias("value_id"), F.col("text").alias("value"))
+    return extraction.continued(fields, items).select("doc_id", "value", F.size("continuation").alias("n"))
+
+
+SAMPLES, SEED = 3, 7
+_X = layout.draws(SAMPLES, SEED)
+
+
+@query(f"""
+WITH r AS (SELECT l_orderkey AS k, count(*) AS m FROM lineitem GROUP BY 1),
+a AS (SELECT k, m, floor({_X[0]!r} * m)::BIGINT AS a, floor({_X[1]!r} * (m - 1))::BIGINT AS y, floor({_X[2]!r} * (m - 2))::BIGINT AS z FROM r),
+b AS (SELECT k, m, a, y + (y >= a)::BIGINT AS b, z FROM a),
+c AS (SELECT k, m, a, b, z + (z >= least(a, b))::BIGINT AS z FROM b),
+d AS (SELECT k, m, a, b, z + (z >= greatest(a, b))::BIGINT AS c FROM c)
+SELECT k::VARCHAR AS doc_id, CASE WHEN m <= 3 THEN i + 1 ELSE [a, b, c][i + 1] + 1 END::INT AS ord, i::INT AS draw FROM d, range(3) t(i) WHERE i < m""")
+def q_seeded_samples(spark, sf_dir):
+    """Three lines of each order, drawn without replacement by a seed."""
+    r = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), r.alias("ord")).withColumn("text", F.concat(F.lit("line "), "ord"))
+    return layout.seeded_samples(rows, SAMPLES, SEED).select("doc_id", "ord", "draw")
+
+
+@query("""
+WITH f AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS s FROM customer),
+x AS (SELECT *, n % 3 = 0 AS approved, s = 'BUILDING' AND n IN (SELECT n FROM f WHERE s = 'MACHINERY') AS building FROM f)
+SELECT n::VARCHAR AS family_id, approved, CASE WHEN NOT approved THEN 'empty label' END AS error, s AS field_id, CASE WHEN s = 'AUTOMOBILE' THEN 'Cars' ELSE s END AS label, CASE WHEN s = 'FURNITURE' AND NOT approved THEN 'amount' ELSE 'text' END AS value_type, s = 'FURNITURE' AND n % 2 = 1 AS required, building AS deleted
+FROM x WHERE NOT (approved AND building)""")
+def q_schema_edits(spark, sf_dir):
+    """Segments of each nation as fields, edited alike; every third nation approves before the last edits."""
+    fields = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("field_id")).distinct()
+    events = [(1, "DELETE", "BUILDING", None, None, 1), (2, "DELETE", "MACHINERY", None, None, 1), (3, "UNDO_DELETE", None, None, None, 1), (4, "RENAME", "AUTOMOBILE", " Cars ", None, 1), (5, "TOGGLE_REQUIRED", "FURNITURE", None, None, 2), (6, "APPROVE", None, None, None, 3), (7, "RETYPE", "FURNITURE", None, "amount", 1), (8, "RENAME", "AUTOMOBILE", " ", None, 1)]
+    said = spark.createDataFrame(events, "seq int, type string, field_id string, label string, value_type string, every int")
+    told = fields.select("n").distinct().join(F.broadcast(said), F.when(F.col("every") == 2, F.col("n") % 2 == 1).otherwise(F.col("n") % F.col("every") == 0))
+    rows = fields.select(F.col("n").cast("string").alias("family_id"), F.col("field_id").alias("ord"), "field_id", F.col("field_id").alias("label"), F.lit("text").alias("value_type"), F.lit(False).alias("required"), F.lit(False).alias("is_column"))
+    out = review.edit_schemas(rows, told.withColumn("family_id", F.col("n").cast("string")))
+    return out.select("family_id", "approved", "error", F.explode("fields").alias("f")).select("family_id", "approved", "error", "f.field_id", "f.label", "f.value_type", "f.required", "f.deleted")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS k, array_agg(o_orderkey ORDER BY o_orderkey) AS ids, count(*) AS n FROM orders GROUP BY 1)
+SELECT k::VARCHAR AS lane_id, (n - 1)::INT AS open, CASE WHEN n > 2 THEN 1 ELSE 0 END AS cursor, n > 1 AS editing, n = 1 AS done, ids[1]::VARCHAR AS accepted, CASE WHEN n > 1 THEN ids[least(n, 3)]::VARCHAR END AS edited FROM o""")
+def q_review_lanes(spark, sf_dir):
+    """The orders of each customer as questions: the first is accepted, the one after next edited, and keys during the save do nothing."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("lane_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_totalprice").cast("string").alias("value"))
+    keys = [("KEY", "Enter", None), ("KEY", "ArrowDown", None), ("ACTION_DONE", None, None), ("KEY", "ArrowDown", None), ("KEY", "e", None), ("EDIT_INPUT", None, "x"), ("KEY", "ArrowUp", None), ("KEY", "Enter", None), ("KEY", "ArrowUp", None)]
+    event = F.explode(F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(a).alias("type"), F.lit(b).cast("string").alias("key"), F.lit(c).cast("string").alias("value")) for i, (a, b, c) in enumerate(keys))))
+    out = review.review_lanes(orders, orders.select("lane_id").distinct().select("lane_id", event.alias("e")).select("lane_id", "e.*"))
+    item = lambda kind: F.get(F.filter("actions", lambda a: a["kind"] == kind), 0)["item_id"]
+    return out.select("lane_id", "open", "cursor", "editing", "done", item("accept").alias("accepted"), item("save_edit").alias("edited"))
