@@ -72,8 +72,10 @@ def table_arithmetic(lines: Column, expected: Column, tolerance: float = 0.01) -
 def validate(fields: DataFrame, rules: list[Column] | None = None) -> DataFrame:
     """(doc_id, id, validator, status, severity, suggested): one row for each rule that applies to a field that is not rejected.
 
-    Without ``rules`` the registry is used; an empty list is no rule at all."""
+    Without ``rules`` the registry is used; an empty list is no rule at all. Fields without printed labels may lack that column."""
     rows = fields.filter("not coalesce(rejected, false)" if rules is None or rules else "false")
+    if "label" not in rows.columns:
+        rows = rows.withColumn("label", F.lit(None).cast("string"))
     out = F.filter(F.array(*(rules or validators())), lambda v: v.isNotNull())
     return rows.select("doc_id", "id", F.explode(out).alias("v")).select("doc_id", "id", "v.*")
 
