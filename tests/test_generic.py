@@ -70,6 +70,25 @@ def test_odd_rows(spark):
     assert generic.generic_fields(many).count() == 400
 
 
+def test_many_pages_are_one_call_and_batches_do_not_cut_them(spark):
+    rows = page(spark, [("Total Due", 0.1, 0.1), ("$100.00", 0.32, 0.1)], "d0")
+    for k in range(1, 7):
+        head = [("Total Due", 0.1, 0.1), (f"${k}.00", 0.32, 0.1), ("Invoice Date", 0.1, 0.2), (f"2024-03-0{k}", 0.32, 0.2)]
+        rows = rows.unionByName(page(spark, head + [(f"Reference {'abcdefg'[j]}: A-{k}00{j}", 0.1, 0.3 + 0.05 * j) for j in range(k)], f"d{k}"))
+    want = {("d0", "total_due", "$100.00")}
+    for k in range(1, 7):
+        want |= {(f"d{k}", "total_due", f"${k}.00"), (f"d{k}", "invoice_date", f"2024-03-0{k}")} | {(f"d{k}", f"reference_{'abcdefg'[j]}", f"A-{k}00{j}") for j in range(k)}
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", rows.coalesce(1)
+    for size in ("10000", "1", "3", "7"):
+        spark.conf.set(key, size)
+        try:
+            fields = generic.generic_fields(rows)
+            assert "FlatMapGroups" not in fields._jdf.queryExecution().executedPlan().toString()  # no Python call of its own for each page
+            assert {(r.doc_id, r.canonical_label, r.value) for r in fields.collect()} == want
+        finally:
+            spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("text, like", [("Place of Birth", True), ("Date of Birth / जन्म तिथि", True), ("2024-03-01", False), ("$12.00", False), ("one two three four five six", False), ("A1234", False), ("A1234:", True), ("x", False), ("", False), (None, False)])
 def test_label_shapes(spark, text, like):
     df = spark.createDataFrame([(text,)], "t string")
