@@ -142,9 +142,7 @@ def q_printed_orders(spark, sf_dir):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS sim FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def q_name_similarity(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    a, b = (part.select(F.col("p_partkey").alias(s), F.col("p_name").alias(f"n{s}"), "p_type", "p_size") for s in "ab")
-    return a.join(b, ["p_type", "p_size"]).filter("a < b").select("a", "b", F.round(fuzzy.similarity(F.col("na"), F.col("nb")), 6).alias("sim"))
+    return fuzzy.similar_pairs(table(spark, sf_dir, "part"), ["p_type", "p_size"], "p_partkey", "p_name")
 
 
 # --- consensus ----------------------------------------------------------------------------------------
