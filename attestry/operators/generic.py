@@ -366,7 +366,8 @@ def generic_fields(items: DataFrame, registry: DataFrame | None = None, claimed:
     ties is reading order. An empty table, a page without labels and a refused page give no row."""
     if claimed is not None:
         items = items.join(claimed.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
-    rows = lines(items, registry).repartition(*PAGE).withColumn("admitted", admission(W.partitionBy(*PAGE))).filter("admitted")
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: few bytes of lines are much work
+    rows = lines(items, registry).repartition(tasks, *PAGE).withColumn("admitted", admission(W.partitionBy(*PAGE))).filter("admitted")
     return judged(rows).sortWithinPartitions(*PAGE).mapInArrow(whole_pages, FIELDS)
 
 
